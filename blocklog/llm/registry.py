@@ -1,14 +1,16 @@
 """The queries of this subpackage and their SQL."""
 
-from . import chat_format, html_text, url_filter
+from . import chat_format, decontaminate, html_text, url_filter
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_chat_format": chat_format.op2_chat_format,
     "op4_html_text": html_text.op4_html_text,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 
 ORACLE_SQL = {
+    "op1_decontaminate": decontaminate.OP1_SQL,
     "op2_chat_format": chat_format.OP2_SQL,
     "op10_url_filter": url_filter.OP10_SQL,
 }
