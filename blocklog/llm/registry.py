@@ -1,12 +1,13 @@
 """The queries of this subpackage and their SQL."""
 
-from . import chat_format, decontaminate, html_text, near_dedup, quality_knn, url_filter
+from . import chat_format, decontaminate, html_text, mixing, near_dedup, quality_knn, url_filter
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_chat_format": chat_format.op2_chat_format,
     "op3_simhash": near_dedup.op3_simhash,
     "op4_html_text": html_text.op4_html_text,
+    "op6_mixing": mixing.op6_mixing,
     "op7_quality": quality_knn.op7_quality,
     "op10_url_filter": url_filter.op10_url_filter,
 }
