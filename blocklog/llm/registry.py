@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import chat_format, decontaminate, html_text, mixing, near_dedup, quality_knn, token_store, url_filter
+from . import ann, chat_format, decontaminate, html_text, mixing, near_dedup, quality_knn, token_store, url_filter
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_html_text": html_text.op4_html_text,
     "op6_mixing": mixing.op6_mixing,
     "op7_quality": quality_knn.op7_quality,
+    "op8_ann": ann.op8_ann,
     "op9_tokens": token_store.op9_tokens,
     "op10_url_filter": url_filter.op10_url_filter,
 }
