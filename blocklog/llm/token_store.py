@@ -27,22 +27,25 @@ BLOCK = 4096
 #: Ids after which a segment is closed; a longer document is a segment of its own.
 SEGMENT = 1 << 20
 MAGIC = b"TPF1"
-#: Entries a worker's cache of encoded words may have.
-CACHE = 400_000
+#: Entries a worker's tables of encoded strings may have.
+CACHE = 800_000
+#: Documents encoded at once.
+DOCS = 1500
 
 
 def pack_block(ids, percentile: float = 98.0) -> bytes:
     import numpy as np
 
     low = int(ids.min())
-    gaps = ids.astype(np.int64) - low
-    fit = int(np.percentile(gaps, percentile, method="lower"))
-    width = fit.bit_length()
-    over = np.flatnonzero(gaps >> width) if width else np.flatnonzero(gaps)
+    gaps = ids - np.uint32(low)
+    at = max(0, int(len(ids) * percentile / 100 + 0.5) - 1)
+    width = int(np.partition(gaps, at)[at]).bit_length()
+    over = np.flatnonzero(gaps >> np.uint32(width)) if width < 32 else np.zeros(0, np.int64)
     kept = gaps.copy()
     kept[over] = 0
-    bits = (kept[:, None] >> np.arange(width)) & 1
-    packed = np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
+    size = 16 if width <= 16 else 32
+    bits = np.unpackbits(kept.astype(f"<u{size // 8}").view(np.uint8), bitorder="little").reshape(-1, size)
+    packed = np.packbits(bits[:, :width], bitorder="little").tobytes()
     head = struct.pack("<IHBH", low, len(ids) - 1, width, len(over))
     return head + packed + over.astype("<u2").tobytes() + gaps[over].astype("<u4").tobytes()
 
@@ -52,12 +55,14 @@ def unpack_block(data: bytes, at: int):
 
     low, n, width, over = struct.unpack_from("<IHBH", data, at)
     n, at = n + 1, at + 9
-    size = (n * width + 7) // 8
-    bits = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=n * width, bitorder="little").reshape(n, width)
-    gaps = bits.astype(np.int64) @ (1 << np.arange(width, dtype=np.int64)) if width else np.zeros(n, np.int64)
-    at += size
+    packed = (n * width + 7) // 8
+    size = 16 if width <= 16 else 32
+    bits = np.zeros((n, size), np.uint8)
+    bits[:, :width] = np.unpackbits(np.frombuffer(data, np.uint8, packed, at), count=n * width, bitorder="little").reshape(n, width)
+    gaps = np.packbits(bits, bitorder="little").view(f"<u{size // 8}").astype(np.uint32)
+    at += packed
     gaps[np.frombuffer(data, "<u2", over, at)] = np.frombuffer(data, "<u4", over, at + 2 * over)
-    return (gaps + low).astype(np.uint32)
+    return gaps + np.uint32(low)
 
 
 def pack_segment(doc_ids: list, lengths, ids, block: int = BLOCK) -> bytes:
@@ -91,44 +96,119 @@ def read_segment(data: bytes, first: int = 0, last: int | None = None):
     return [None if n else int(d) for d, n in zip(known, nulls, strict=True)], lengths, ids
 
 
+def gathered(begins, sizes, flat, order):
+    """The runs flat[begins:begins + sizes] of each index in ``order``, in a row; and where each ends."""
+    import numpy as np
+
+    counts = sizes[order]
+    ends = np.cumsum(counts)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.arange(total) + np.repeat(begins[order] - (ends - counts), counts)], ends
+
+
+class Table:
+    """Strings and the ids they are encoded to, as flat arrays found by hash.
+
+    Filled until it has CACHE entries; what comes later is encoded each time. It
+    starts anew once most of what is asked for is lacking.
+    """
+
+    def __init__(self):
+        import numpy as np
+        import pyarrow as pa
+
+        self.words = pa.array([], pa.large_string())
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def look_up(self, words, encode):
+        """(index of each of some distinct ``words``, sizes, flat ids); ``encode`` gives the last two of words it lacks."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        import xxhash
+
+        hashed = xxhash.xxh64_intdigest
+        h = np.array([hashed(w) for w in words.to_pylist()], np.uint64)
+        pos = np.minimum(np.searchsorted(self.keys, h), max(len(self.keys) - 1, 0))
+        hit = self.keys[pos] == h if len(self.keys) else np.zeros(len(h), bool)
+        at = np.full(len(h), -1, np.int64)
+        at[hit] = self.slots[pos[hit]]
+        if hit.any():  # equal hashes are not equal words yet
+            same = np.asarray(pc.equal(words.filter(pa.array(hit)), self.words.take(pa.array(at[hit]))))
+            at[np.flatnonzero(hit)[~same]] = -1
+        lacking = np.flatnonzero(at < 0)
+        if len(lacking) * 2 > len(h) and len(self.words) >= CACHE:
+            self.__init__()
+            return self.look_up(words, encode)
+        if not len(lacking):
+            return at, self.sizes, self.flat
+        new = words.take(pa.array(lacking))
+        sizes, flat = encode(new)
+        at[lacking] = len(self.sizes) + np.arange(len(lacking))
+        sizes, flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, flat])
+        if len(self.words) < CACHE:
+            self.words = pa.concat_arrays([self.words, new])
+            order = np.argsort(h[lacking])
+            where = np.searchsorted(self.keys, h[lacking][order])
+            self.keys = np.insert(self.keys, where, h[lacking][order])
+            self.slots = np.insert(self.slots, where, at[lacking][order])
+            self.sizes, self.flat = sizes, flat
+        return at, sizes, flat
+
+
 class Encoder:
     """A tokenizers file applied to the white-space pieces of texts, each once per worker.
 
     Exact only for tokenizers whose pre-tokenizer drops white space, so that no
-    token spans it; ``whole`` encodes texts in one call instead.
+    token spans it; ``whole`` encodes texts in one call instead. Words of ASCII
+    and Latin letters, which Unicode normalisation leaves alone, are cut as the
+    tokenizer's pre-tokenizer cuts them, and their pieces encoded; all other
+    words go to the tokenizer as they are.
     """
 
     def __init__(self, path: str, whole: bool = False):
         import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
         self.whole = whole
-        self.cache = worker_cache(f"tokens:{path}")
-        #: Pieces of ASCII and Latin letters, which lower-casing and NFC leave alone otherwise.
+        held = worker_cache(f"tokens:{path}")
+        if not held:
+            held.update(tokenizer=Tokenizer.from_file(path), words=Table(), pieces=Table())
+        self.tokenizer, self.words, self.pieces = held["tokenizer"], held["words"], held["pieces"]
         self.plain = regex.compile(r"[\x21-\x7EÀ-ÖØ-öø-ÿ]+")
         self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
-    def encode(self, words: list[str]) -> list:
-        """Ids of each word, a word being free of ASCII white space."""
+    def encode_pieces(self, pieces):
+        import numpy as np
+
+        sizes, flat = [], []
+        some = pieces.to_pylist()
+        for at in range(0, len(some), 2000):
+            for e in self.tokenizer.encode_batch(some[at : at + 2000], add_special_tokens=False):
+                sizes.append(len(e.ids))
+                flat.extend(e.ids)
+        return np.array(sizes, np.int64), np.array(flat, np.uint32)
+
+    def encode_words(self, words):
+        """Sizes and ids of words that are free of ASCII white space."""
+        import numpy as np
+
+        made = [self.encode_some(words[at : at + 50_000]) for at in range(0, len(words), 50_000)]
+        return np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made])
+
+    def encode_some(self, words):
         import numpy as np
+        import pyarrow as pa
 
-        parts: list[list[str]] = []
-        for w in words:
-            if self.plain.fullmatch(w) and "<|" not in w:
-                parts.append(self.cut.findall(w.lower()))
-            else:
-                parts.append([w])
-        new = sorted({p for ps in parts for p in ps if p not in self.cache})
-        if len(self.cache) + len(new) > CACHE:
-            self.cache.clear()
-            new = sorted({p for ps in parts for p in ps})
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for p, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                self.cache[p] = e.ids
-        cache = self.cache
-        return [np.array(cache[ps[0]] if len(ps) == 1 else [i for p in ps for i in cache[p]], np.uint32) for ps in parts]
+        plain, cut = self.plain.fullmatch, self.cut.findall
+        parts = [cut(w.lower()) if plain(w) and "<|" not in w else [w] for w in words.to_pylist()]
+        counts = np.fromiter(map(len, parts), np.int64, len(parts))
+        coded = pa.array([p for ps in parts for p in ps], pa.large_string()).dictionary_encode()
+        at, sizes, flat = self.pieces.look_up(coded.dictionary, self.encode_pieces)
+        flat, ends = gathered(np.cumsum(sizes) - sizes, sizes, flat, at[np.asarray(coded.indices)])
+        ends = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        return np.diff(ends), flat
 
     def ids(self, texts, end: int):
         """(lengths, ids) of an Arrow array of texts, each closed by ``end``; null is empty."""
@@ -138,18 +218,13 @@ class Encoder:
             rows = [np.array([*e.ids, end], np.uint32) for e in self.tokenizer.encode_batch([x.as_py() or "" for x in texts], add_special_tokens=False)]
             return np.array([len(r) for r in rows], np.int64), np.concatenate([*rows, np.zeros(0, np.uint32)])
         words, codes, starts = token_hashes(texts, lower=False)
-        lists = [*self.encode(words.to_pylist()), np.array([end], np.uint32)]
-        sizes = np.array([len(x) for x in lists], np.int64)
-        flat = np.concatenate(lists)
+        at, sizes, flat = self.words.look_up(words, self.encode_words)
+        sizes, flat = np.append(sizes, 1), np.append(flat, np.uint32(end))
         begins = np.cumsum(sizes) - sizes
-        n = len(starts) - 1
-        order = np.insert(codes, starts[1:], len(lists) - 1)  # the end id after each text's words
-        counts = sizes[order]
-        upto = np.cumsum(counts)
-        places = np.arange(upto[-1] if len(upto) else 0) + np.repeat(begins[order] - (upto - counts), counts)
-        last = starts[1:] + np.arange(1, n + 1)
-        lengths = np.diff(np.concatenate([[0], upto[last - 1]])) if n else np.zeros(0, np.int64)
-        return lengths, flat[places]
+        order = np.insert(at[codes], starts[1:], len(sizes) - 1)  # the end id after each text's words
+        found, ends = gathered(begins, sizes, flat, order)
+        last = ends[starts[1:] + np.arange(len(starts) - 1)]
+        return np.diff(last, prepend=0), found
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, end: int, path: str, segment: int = SEGMENT, whole: bool = False, parts: int | None = None) -> None:
@@ -180,8 +255,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int, path: str, segment:
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seg], pa.int32()), pa.array([len(doc_ids)], pa.int64()), pa.array([held], pa.int64()), pa.array([data], pa.binary())], names=names)
 
         for batch in stream:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, DOCS):
+                some = batch.slice(at, DOCS)
                 n, found = encoder.ids(some.column("text"), end)
                 lengths.append(n)
                 ids.append(found)
