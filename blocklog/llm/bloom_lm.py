@@ -5,9 +5,10 @@ Osborne, 2007): an n-gram of level q is entered into a Bloom filter with every
 level from 1 to q. Probing level after level gives its quantised count back.
 Probabilities interpolate bigrams and words.
 
-The filter is cut into segments by hash. Segments are built in tasks of their
-own and sent to the workers in shards of a bounded size; where there are more
-shards than one, texts are passed over once for each.
+The filter is cut into segments by hash, built in tasks of their own. A filter
+of at most BROADCAST_FILTER bytes is broadcast to the workers. A larger one
+stays where it is: each batch of documents sends its distinct n-grams to the
+segments they belong to, and gets their levels back.
 """
 
 from __future__ import annotations
@@ -18,17 +19,20 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_staged, read_table, staged, token_hashes
+from .common import read_table, staged, token_hashes
 
-#: Bytes of a shard that a worker holds at once.
-SHARD_BYTES = 192 << 20
+#: Bytes of filter and word counts that are broadcast; beyond, n-grams go to the segments.
+BROADCAST_FILTER = 192 << 20
 #: Bytes of text per segment.
 SEGMENT_TEXT = 2 << 20
 #: Filter bits per entry, probes per entry, ratio of count levels.
-BITS, PROBES, RATIO = 12, 8, 1.3
+BITS, PROBES, RATIO = 10, 7, 1.3
 #: What the end of a text hashes to; no word holds a line break.
 END_WORD = b"\n"
-DOCS = 2000
+#: Documents that are counted, and that are scored, at once.
+COUNTED, DOCS = 4000, 1500
+#: How many times the expected number of successors a history must be seen to trust its bigrams by half.
+CAUTION = 3.0
 
 
 def thresholds():
@@ -86,9 +90,15 @@ def text_codes(texts):
     return hashes, codes, starts + np.arange(len(starts))
 
 
+def segment_of(hashes, segments: int):
+    import numpy as np
+
+    return ((hashes >> np.uint64(32)) % np.uint64(segments)).astype(np.int64)
+
+
 @dataclass
-class Shard:
-    """Segments first to last of a model: filter bits, and exact word counts."""
+class Filter:
+    """Filter bits of segments first to last, and exact word counts sorted by hash."""
 
     first: int
     last: int
@@ -98,12 +108,18 @@ class Shard:
     words: object
     counts: object
 
+    @classmethod
+    def of_one(cls, seg: int, bits: bytes, words: bytes, counts: bytes) -> Filter:
+        import numpy as np
+
+        return cls(seg, seg, np.frombuffer(bits, np.uint8), np.zeros(1, np.int64), np.array([8 * len(bits)]), np.frombuffer(words, np.uint64), np.frombuffer(counts, np.int64))
+
     def levels(self, hashes, segments: int, limit: int):
         """Quantised count level of each n-gram that belongs here, else 0."""
         import numpy as np
 
         out = np.zeros(len(hashes), np.uint8)
-        seg = ((hashes >> np.uint64(32)) % np.uint64(segments)).astype(np.int64)
+        seg = segment_of(hashes, segments)
         alive = np.flatnonzero((seg >= self.first) & (seg <= self.last))
         seg = seg[alive] - self.first
         alive, seg = alive[self.sizes[seg] > 0], seg[self.sizes[seg] > 0]
@@ -139,16 +155,17 @@ class Model:
     once: int
     segments: int
     table: DataFrame
-    bounds: list
+    #: Bytes of filter bits, and words, of all segments.
+    size: tuple
     grown: object
 
     def rates(self):
         """(probability of a word by level, share of the bigram estimate by level of the history).
 
         Unknown words together get the Good-Turing mass of words seen once. A
-        history seen c times trusts its bigrams by c / (c + T(c)), T(c) being the
+        history seen c times trusts its bigrams by c / (c + CAUTION T(c)), T(c) being the
         number of distinct words that c tokens of the corpus are expected to
-        hold (the Witten-Bell weight of a history with unbiased followers).
+        hold (with CAUTION 1 the Witten-Bell weight of unbiased followers).
         """
         import numpy as np
 
@@ -159,7 +176,7 @@ class Model:
         values, numbers = self.grown
         share = values / max(self.tokens, 1)
         distinct = np.array([(numbers * -np.expm1(c * np.log1p(-np.minimum(share, 1 - 1e-12)))).sum() if len(values) else 0.0 for c in count])
-        return count, np.maximum(word, 1e-300), np.where(count > 0, count / np.maximum(count + distinct, 1e-9), 0)
+        return count, np.maximum(word, 1e-300), np.where(count > 0, count / np.maximum(count + CAUTION * distinct, 1e-9), 0)
 
 
 def train(docs: DataFrame) -> Model:
@@ -178,17 +195,15 @@ def train(docs: DataFrame) -> Model:
 
     def counted(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """N-grams of each batch with their counts, packed by segment."""
-        for batch in stream:
+        for batch in (b.slice(at, COUNTED) for b in stream for at in range(0, b.num_rows, COUNTED)):
             hashes, codes, starts = text_codes(batch.column("text"))
-            if not len(codes):
-                continue
             before = np.concatenate([[len(hashes) - 1], codes[:-1]])
             pair, n = np.unique(before * len(hashes) + codes, return_counts=True)
             grams = [(hashes, np.bincount(codes, minlength=len(hashes))), (pair_hash(hashes[pair // len(hashes)], hashes[pair % len(hashes)]), n)]
             rows = []
             for kind, (h, n) in enumerate(grams):
                 h, n = h[n > 0], n[n > 0]
-                seg = ((h >> np.uint64(32)) % np.uint64(segments)).astype(np.int64)
+                seg = segment_of(h, segments)
                 order = np.argsort(seg, kind="stable")
                 h, n, seg = h[order], n[order], seg[order]
                 cuts = np.flatnonzero(np.diff(seg)) + 1
@@ -218,37 +233,32 @@ def train(docs: DataFrame) -> Model:
     table = staged(packed.groupBy("seg").applyInArrow(built, "seg long, bits binary, words binary, counts binary, freqs array<long>, numbers array<long>"), "lm-segments")
     spectrum = table.select(F.explode(F.arrays_zip("freqs", "numbers")).alias("x")).groupBy(F.col("x.freqs").alias("f")).agg(F.sum("x.numbers").alias("n"))
     seen = spectrum.groupBy(F.floor(F.log2("f") * 8).alias("step")).agg(F.sum(F.col("f") * F.col("n")).alias("tokens"), F.sum("n").alias("n"), F.sum(F.when(F.col("f") == 1, F.col("n")).otherwise(0)).alias("once")).collect()
-    sizes = {r.seg: r.size for r in table.select("seg", (F.octet_length("bits") + F.octet_length("words") + F.octet_length("counts")).alias("size")).collect()}
-    bounds, held = [0], 0
-    for s in range(segments):
-        if held and held + sizes.get(s, 0) > SHARD_BYTES:
-            bounds.append(s)
-            held = 0
-        held += sizes.get(s, 0)
+    size = table.agg(F.sum(F.octet_length("bits")).alias("bits"), F.sum(F.octet_length("words")).alias("words")).head()
     tokens, types = sum(int(r.tokens) for r in seen), sum(int(r.n) for r in seen)
     grown = np.array([r.tokens / r.n for r in seen], float), np.array([r.n for r in seen], float)
-    return Model(tokens, types, sum(int(r.once) for r in seen), segments, table, [*bounds, segments], grown)
+    return Model(tokens, types, sum(int(r.once) for r in seen), segments, table, (size.bits or 0, (size.words or 0) // 8), grown)
 
 
-def load_shard(model: Model, k: int) -> Shard:
-    """Shard k of the stored segments, SHARD_BYTES at most (or one segment)."""
+def load(model: Model) -> Filter:
+    """All segments in one; only for models of at most BROADCAST_FILTER bytes."""
     import numpy as np
 
-    first, last = model.bounds[k], model.bounds[k + 1] - 1
-    sizes, offsets = np.zeros(last - first + 1, np.int64), np.zeros(last - first + 1, np.int64)
-    bits, words, counts, at = [], [], [], 0
-    for r in model.table.where(F.col("seg").between(first, last)).select("seg", "bits", "words", "counts").toLocalIterator():
-        sizes[r.seg - first], offsets[r.seg - first] = 8 * len(r.bits), at
-        at += len(r.bits)
-        bits.append(bytes(r.bits))
-        words.append(np.frombuffer(bytes(r.words), np.uint64))
-        counts.append(np.frombuffer(bytes(r.counts), np.int64))
-    words, counts = np.concatenate([np.zeros(0, np.uint64), *words]), np.concatenate([np.zeros(0, np.int64), *counts])
+    sizes, offsets = np.zeros(model.segments, np.int64), np.zeros(model.segments, np.int64)
+    bits = np.zeros(model.size[0], np.uint8)
+    words, counts = np.zeros(model.size[1], np.uint64), np.zeros(model.size[1], np.int64)
+    at = n = 0
+    for r in model.table.select("seg", "bits", "words", "counts").toLocalIterator():
+        sizes[r.seg], offsets[r.seg] = 8 * len(r.bits), at
+        bits[at : at + len(r.bits)] = np.frombuffer(r.bits, np.uint8)
+        own = np.frombuffer(r.words, np.uint64)
+        words[n : n + len(own)], counts[n : n + len(own)] = own, np.frombuffer(r.counts, np.int64)
+        at, n = at + len(r.bits), n + len(own)
     order = np.argsort(words)
-    return Shard(first, last, np.frombuffer(b"".join(bits), np.uint8), offsets, sizes, words[order], counts[order])
+    counts = counts[order]
+    return Filter(0, model.segments - 1, bits, offsets, sizes, words[order], counts.astype(np.uint32) if counts.max(initial=0) < 1 << 32 else counts)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
+def score(docs: DataFrame, model: Model, broadcast: int = BROADCAST_FILTER) -> DataFrame:
     """Add n_tokens, n_known, train_tokens, base_score and score to every row.
 
     ``base_score`` is the add-one estimate from exact counts. ``score`` is the
@@ -256,65 +266,112 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     are empty and consist of their end. Existing columns of these names are
     replaced; an empty table gives no rows. A model of no tokens scores 0.
 
-    Each pass over the texts sends one shard; levels found so far are kept as a
-    byte for each token.
+    ``broadcast`` bounds what is sent to every worker. Either way gives the same
+    scores, and costs in proportion to the texts.
     """
     import numpy as np
     import pyarrow as pa
 
     made = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     rest = [c for c in docs.columns if c not in made]
-    spark, shards = docs.sparkSession, len(model.bounds) - 1
-    totals, segments, rates = (model.tokens, model.types), model.segments, model.rates()
-    limit = len(thresholds())
-    schema = docs.select(*rest).withColumns({"_u": F.lit(b""), "_b": F.lit(b""), "_known": F.lit(0).cast("long"), "_base": F.lit(0.0)}).schema
-    done = docs.select(*rest).withColumns({"n_tokens": F.lit(0).cast("long"), "n_known": F.lit(0).cast("long"), "train_tokens": F.lit(0).cast("long"), "base_score": F.lit(0.0), "score": F.lit(0.0)}).schema
-
-    def passed(k: int):
-        sent = spark.sparkContext.broadcast(load_shard(model, k))
-
-        def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            shard = sent.value
-            count, word_rate, trust = rates
-            for whole in stream:
-                for at in range(0, whole.num_rows, DOCS):
-                    batch = whole.slice(at, DOCS)
-                    hashes, codes, starts = text_codes(batch.column("text"))
-                    before = np.concatenate([[len(hashes) - 1], codes[:-1]])
-                    u = shard.levels(hashes, segments, limit)[codes]
-                    b = shard.levels(pair_hash(hashes[before], hashes[codes]), segments, limit)
-                    exact = shard.exact(hashes)[codes]
-                    known = np.add.reduceat((exact > 0).astype(np.int64), starts[:-1])
-                    base = np.add.reduceat(np.log10(exact + 1.0), starts[:-1])
-                    lengths = np.diff(starts)
-                    if k:
-                        u |= np.frombuffer(b"".join(batch.column("_u").to_pylist()), np.uint8)
-                        b |= np.frombuffer(b"".join(batch.column("_b").to_pylist()), np.uint8)
-                        known, base = known + np.asarray(batch.column("_known")), base + np.asarray(batch.column("_base"))
-                    own = [batch.column(c) for c in rest]
-                    if k < shards - 1:
-                        cut = [(int(s), int(e)) for s, e in zip(starts[:-1], starts[1:], strict=True)]
-                        own += [pa.array([x[s:e].tobytes() for s, e in cut], pa.binary()) for x in (u, b)] + [pa.array(known), pa.array(base)]
-                        yield pa.RecordBatch.from_arrays(own, names=schema.names)
-                        continue
-                    # a text's first token follows the end token, whose level any text's last token has
-                    h = np.concatenate([u[-1:], u[:-1]])
-                    seen = np.where(b > 0, np.minimum(count[b] / np.maximum(count[h], 1), 1), 0)
-                    rate = trust[h] * seen + (1 - trust[h]) * word_rate[u]
-                    found = np.add.reduceat(np.log10(np.maximum(rate, 1e-300)), starts[:-1])
-                    base = base - lengths * np.log10(totals[0] + totals[1] + 1)
-                    own += [pa.array(lengths), pa.array(known), pa.array(np.full(len(lengths), totals[0], np.int64)), pa.array(base), pa.array(np.minimum(found, 0.0))]
-                    yield pa.RecordBatch.from_arrays(own, names=done.names)
-
-        return batches
-
-    now = docs.select(*rest)
-    for k in range(shards - 1):
-        after = staged(now.mapInArrow(passed(k), schema), "lm-levels")
-        if k:
-            drop_staged(now)
-        now = after
-    return now.mapInArrow(passed(shards - 1), done)
+    spark, segments, limit = docs.sparkSession, model.segments, len(thresholds())
+    totals, rates = (model.tokens, model.types), model.rates()
+    zero = F.lit(0).cast("long")
+    done = docs.select(*rest).withColumns({"n_tokens": zero, "n_known": zero, "train_tokens": zero, "base_score": F.lit(0.0), "score": F.lit(0.0)}).schema
+
+    def summed(columns: list, codes, starts, u, b, exact):
+        """Rows of a batch from each token's word level, bigram level and exact word count."""
+        count, word_rate, trust = rates
+        h = np.concatenate([u[-1:], u[:-1]])  # a text's first token follows the end token, and some text's end comes before it
+        seen = np.where(b > 0, np.minimum(count[b] / np.maximum(count[h], 1), 1), 0)
+        rate = trust[h] * seen + (1 - trust[h]) * word_rate[u]
+        found = np.add.reduceat(np.log10(np.maximum(rate, 1e-300)), starts[:-1])
+        known = np.add.reduceat((exact > 0).astype(np.int64), starts[:-1])
+        lengths = np.diff(starts)
+        base = np.add.reduceat(np.log10(exact + 1.0), starts[:-1]) - lengths * np.log10(totals[0] + totals[1] + 1)
+        columns = [*columns, pa.array(lengths), pa.array(known), pa.array(np.full(len(lengths), totals[0], np.int64)), pa.array(base), pa.array(np.minimum(found, 0.0))]
+        return pa.RecordBatch.from_arrays(columns, names=done.names)
+
+    if model.size[0] + 16 * model.size[1] <= broadcast:
+        sent = spark.sparkContext.broadcast(load(model))
+
+        def scored(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = sent.value
+            for batch in (x.slice(at, DOCS) for x in stream for at in range(0, x.num_rows, DOCS)):
+                hashes, codes, starts = text_codes(batch.column("text"))
+                before = np.concatenate([[len(hashes) - 1], codes[:-1]])
+                u = own.levels(hashes, segments, limit)[codes]
+                b = own.levels(pair_hash(hashes[before], hashes[codes]), segments, limit)
+                yield summed([batch.column(c) for c in rest], codes, starts, u, b, own.exact(hashes)[codes])
+
+        return docs.select(*rest).mapInArrow(scored, done)
+
+    def grams(texts):
+        """Distinct n-grams of a batch in order of segment, and where each token's are."""
+        hashes, codes, starts = text_codes(texts)
+        before = np.concatenate([[len(hashes) - 1], codes[:-1]])
+        pair, back = np.unique(before * len(hashes) + codes, return_inverse=True)
+        every = np.concatenate([hashes, pair_hash(hashes[pair // len(hashes)], hashes[pair % len(hashes)])])
+        order = np.argsort(segment_of(every, segments), kind="stable")
+        return every[order], order, codes, starts, len(hashes) + back
+
+    # texts in packed batches, each a row with a number of its own
+    def batched(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 33
+        for batch in (x.slice(at, DOCS) for x in stream for at in range(0, x.num_rows, DOCS)):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as out:
+                out.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["batch", "rows"])
+            number += 1
+
+    def opened(data: bytes) -> pa.RecordBatch:
+        return pa.ipc.open_stream(data).read_next_batch()
+
+    def asked(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in stream:
+            for number, data in zip(x.column("batch").to_pylist(), x.column("rows"), strict=True):
+                every = grams(opened(data.as_py()).column("text"))[0]
+                seg = segment_of(every, segments)
+                cuts = np.flatnonzero(np.diff(seg)) + 1
+                pieces = np.split(every, cuts)
+                firsts = seg[np.concatenate([[0], cuts])]
+                yield pa.RecordBatch.from_arrays([pa.array(firsts), pa.array(np.full(len(pieces), number)), pa.array([p.tobytes() for p in pieces], pa.binary())], names=["seg", "batch", "h"])
+
+    def answered(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = {"batch": [], "seg": [], "levels": [], "exact": []}
+        for r in right.to_pylist():
+            own = Filter.of_one(r["seg"], r["bits"], r["words"], r["counts"])
+            for number, data in zip(left["batch"].to_pylist(), left["h"].to_pylist(), strict=True):
+                h = np.frombuffer(data, np.uint64)
+                for k, v in zip(out, (number, r["seg"], own.levels(h, segments, limit).tobytes(), own.exact(h).astype(np.int64).tobytes()), strict=True):
+                    out[k].append(v)
+        return pa.table([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=list(out))
+
+    def finished(left: pa.Table, right: pa.Table) -> pa.Table:
+        known = {s: (lv, ex) for s, lv, ex in zip(right["seg"].to_pylist(), right["levels"].to_pylist(), right["exact"].to_pylist(), strict=True)}
+        out = []
+        for data in left["rows"].to_pylist():
+            batch = opened(data)
+            every, order, codes, starts, pairs = grams(batch.column("text"))
+            levels, exact = np.zeros(len(every), np.uint8), np.zeros(len(every), np.int64)
+            seg = segment_of(every, segments)
+            ends = [*np.flatnonzero(np.diff(seg)) + 1, len(seg)]
+            at = 0
+            for end in ends:
+                if int(seg[at]) in known:
+                    lv, ex = known[int(seg[at])]
+                    levels[order[at:end]], exact[order[at:end]] = np.frombuffer(lv, np.uint8), np.frombuffer(ex, np.int64)
+                at = end
+            out.append(summed([batch.column(c) for c in rest], codes, starts, levels[codes], levels[pairs], exact[codes]))
+        return pa.Table.from_batches(out)
+
+    rows = staged(docs.select(*rest).mapInArrow(batched, "batch long, rows binary"), "lm-batches")
+    requests = rows.mapInArrow(asked, "seg long, batch long, h binary")
+    answers = requests.groupBy("seg").cogroup(model.table.select("seg", "bits", "words", "counts").groupBy("seg")).applyInArrow(answered, "batch long, seg long, levels binary, exact binary")
+    return rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(finished, done)
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
