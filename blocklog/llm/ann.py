@@ -22,6 +22,8 @@ from .common import read_table, staged
 ROWS, QUERIES = 2048, 256
 #: What is fitted on: at most so many vectors, lists, and queries for tuning.
 SAMPLE, LISTS, TUNE = 20_000, 1024, 200
+#: Bytes of the fitted sample, whatever the vectors' size; it is sent to every worker.
+SAMPLE_BYTES = 32 << 20
 
 
 @dataclass
@@ -64,11 +66,12 @@ def matrix(column):
 
 
 def fit(rows: DataFrame, seed: int = 7, rounds: int = 8) -> Space:
-    """Rotation and k-means centroids from at most SAMPLE vectors, taken by hash of vec_id."""
+    """Rotation and k-means centroids from at most SAMPLE vectors (SAMPLE_BYTES), taken by hash of vec_id."""
     import numpy as np
 
-    total = rows.count()
-    found = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).toArrow()
+    total, first = rows.count(), rows.select(F.size("v").alias("n")).head()
+    most = min(SAMPLE, SAMPLE_BYTES // (8 * first.n)) if first else SAMPLE
+    found = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(most).toArrow()
     sample = matrix(found["v"].combine_chunks()) if found.num_rows else np.zeros((0, 1))
     rng = np.random.default_rng(seed)
     rotation, _ = np.linalg.qr(rng.standard_normal((sample.shape[1], sample.shape[1])))

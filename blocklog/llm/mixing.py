@@ -17,6 +17,8 @@ from .common import read_table, staged
 LEVELS = ("domain", "lang", "source")
 #: Buckets that cut a leaf's order; only one bucket of a leaf is summed row by row.
 BUCKETS = 4096
+#: Leaves and epochs up to which their plan is broadcast; beyond, it is joined by shuffle.
+LEAVES = 100_000
 
 
 def fill(budget: float, nodes: dict, weights: dict) -> dict:
@@ -88,18 +90,19 @@ def mix(docs: DataFrame, total: float | None = None, share: float = 0.5, weights
     plan = [(*leaf, e, max(0, min(given[leaf] - e * n, n)), given[leaf] - e * n >= n) for leaf, n in sorted(tokens.items()) for e in range(max_epochs) if given[leaf] > e * n or (n == 0 and e == 0)]
     fields = ", ".join(f"{n} string" for n in names) + ", epoch int, budget long, whole boolean"
     leaves = spark.createDataFrame(plan, fields)
+    side = F.broadcast if len(plan) <= LEAVES else lambda df: df
 
     order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "epoch", "doc_id"), 1)
     bucket = F.shiftright("place", 63 - BUCKETS.bit_length() + 1).cast("int")
     own = F.struct("place", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"))
-    keyed = small.join(F.broadcast(leaves), names).where("NOT whole").withColumn("place", order)
+    keyed = small.join(side(leaves), names).where("NOT whole").withColumn("place", order)
     keyed = keyed.withColumn("bucket", bucket)
     leaf = [*names, "epoch"]
     tops = keyed.groupBy(*leaf, "bucket").agg(F.sum("n_tokens").alias("n"), F.first("budget").alias("budget"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy(*leaf).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     tops = tops.withColumn("before", before).where(F.col("before") < F.col("budget"))
     tops = staged(tops.withColumn("edge", F.col("before") + F.col("n") > F.col("budget")), "mix-buckets")
-    edge = keyed.join(F.broadcast(tops.where("edge").select(*leaf, "bucket", "before")), [*leaf, "bucket"])
+    edge = keyed.join(side(tops.where("edge").select(*leaf, "bucket", "before")), [*leaf, "bucket"])
     ties = edge.groupBy(*leaf, "budget", "before", "bucket", "place", "doc_id").agg(F.sum("n_tokens").alias("n"))
     upto = F.coalesce(F.sum("n").over(Window.partitionBy(*leaf, "bucket").orderBy("place", F.col("doc_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ends = ties.withColumn("upto", F.col("before") + upto).where(F.col("upto") < F.col("budget"))
@@ -107,7 +110,7 @@ def mix(docs: DataFrame, total: float | None = None, share: float = 0.5, weights
     full = tops.where("NOT edge").groupBy(*leaf).agg(F.max("bucket").alias("last_bucket"))
     cut = leaves.join(full, leaf, "left").join(limits, leaf, "left")
 
-    chosen = rows.join(F.broadcast(cut), names).withColumn("place", order)
+    chosen = rows.join(side(cut), names).withColumn("place", order)
     chosen = chosen.withColumn("bucket", bucket)
     chosen = chosen.where(F.col("whole") | (F.col("bucket") <= F.coalesce("last_bucket", F.lit(-1))) | F.coalesce(own <= F.col("last"), F.lit(False)))
     return chosen.select(*docs.columns, "epoch")
