@@ -48,6 +48,11 @@ def broken_links(stored: DataFrame) -> DataFrame:
     return stored.join(now, "blk").where(~F.col("prev_mac").eqNullSafe(F.col("true_mac"))).select("blk")
 
 
+def load(journal: DataFrame, first: int, last: int) -> DataFrame:
+    """Records of the blocks from first to last, both included; the filter is on rec."""
+    return journal.where(F.col("rec").between(first * BLOCK_RECORDS, (last + 1) * BLOCK_RECORDS - 1)).withColumn("blk", whole(F.col("rec"), BLOCK_RECORDS))
+
+
 def toggle(valid: DataFrame) -> DataFrame:
     """A checkpoint's field selectors, all flipped: every table's other copy is now the valid one."""
     return valid.withColumn("valid", ~F.col("valid"))

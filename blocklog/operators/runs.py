@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.addressing import overlaps, whole
-from ..schema import LEAF_RECORDS, LEVEL0_FILES
+from ..schema import LEAF_RECORDS, LEVEL0_FILES, NODE_FANOUT
 from ..sources.tables import RUN, dense_rank_of
 
 
@@ -39,6 +39,21 @@ def leaf_index(rows: DataFrame, key: str, size: int = LEAF_RECORDS) -> DataFrame
     return chunks(rows.select(key), key, size, "leaf").groupBy("leaf").agg(F.max(key).alias("max_key"), F.count("*").alias("nr_record"))
 
 
+def inner_nodes(index: DataFrame, leaves: int, fanout: int = NODE_FANOUT) -> DataFrame:
+    """(level, node, max_key, children) of the nodes above ``leaves`` leaves, level 1 first.
+
+    A node's key is the greatest below it. Levels follow from leaf numbers, so
+    all are made in one aggregation.
+    """
+    depth, width = 0, leaves
+    while width > 1:
+        depth, width = depth + 1, -(-width // fanout)
+    step = F.explode(F.sequence(F.lit(1), F.lit(max(depth, 1))))
+    rows = index.withColumn("level", step).withColumn("node", F.floor(F.col("leaf") / F.pow(F.lit(fanout), "level")).cast("long"))
+    below = F.floor(F.col("leaf") / F.pow(F.lit(fanout), F.col("level") - 1))
+    return rows.where(F.col("level") <= depth).groupBy("level", "node").agg(F.max("max_key").alias("max_key"), F.count_distinct(below).alias("children"))
+
+
 def leaf_links(index: DataFrame) -> DataFrame:
     """Each leaf with its successor, by equality on leaf + 1."""
     after = index.select((F.col("leaf") - 1).alias("leaf"), F.col("leaf").alias("next_leaf"))

@@ -89,6 +89,20 @@ def relocate(blocks: DataFrame, chosen: DataFrame, owners: DataFrame, live: Data
     return now.join(buffered.select("lba"), "lba", "left_anti").select("lba", "hba", "seg")
 
 
+def collect_pass(placed: DataFrame, chosen: DataFrame, moved: DataFrame, first_free: int, per_segment: int) -> DataFrame:
+    """The placed log after a pass: chosen segments emptied, moved blocks in new slots.
+
+    Moved blocks (lba, hba, seg) fill segments from ``first_free`` on in key
+    order; they keep their wseq, so newer writes still win.
+    """
+    from ..sources.tables import dense_rank_of
+
+    kept = placed.join(chosen.select("seg"), "seg", "left_anti").select("hba", "lba", "wseq", "seg", "tomb")
+    rows = dense_rank_of(moved.select("lba", "hba"), "lba").join(placed.select("hba", "wseq", "tomb"), "hba")
+    slot = F.col("rank") + first_free * per_segment
+    return kept.unionByName(rows.select(slot.alias("hba"), "lba", "wseq", block_to_segment(slot, per_segment).alias("seg"), "tomb"))
+
+
 def next_free(segments: DataFrame, cursor: int) -> DataFrame:
     """First free segment (seg, valid) at or after the cursor, else from the start."""
     return segments.where(~F.col("valid")).orderBy(F.col("seg") < cursor, "seg").limit(1).select("seg")

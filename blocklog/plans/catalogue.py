@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions import addressing, capacity, crypto
 from ..operators import compaction, integrity, journal, log, lookup, runs, segments, stats
-from ..schema import LEAF_RECORDS
 from ..sources.tables import BATCH, event_log, raw_log, table
 
 QUERIES: dict = {}
@@ -225,6 +224,12 @@ def leaf_probe(spark, d):
     return runs.leaf_probe(probes, runs.leaf_index(_orders(spark, d), "lba")).select("k", "max_key", "leaf")
 
 
+@query(f"WITH {LEAF}, n AS (SELECT 1 AS level, leaf // 32 AS node, max(max_key) AS max_key, count(*) AS children FROM i GROUP BY ALL) SELECT level, node, max_key, children FROM n UNION ALL SELECT 2, node // 32, max(max_key), count(*) FROM n WHERE (SELECT count(*) FROM n) > 1 GROUP BY ALL")
+def inner_nodes(spark, d):
+    index = runs.leaf_index(_orders(spark, d), "lba")
+    return runs.inner_nodes(index, index.count())
+
+
 @query(f"WITH {LEAF} SELECT leaf, lead(leaf) OVER (ORDER BY leaf) AS next_leaf FROM i")
 def leaf_links(spark, d):
     return runs.leaf_links(runs.leaf_index(_orders(spark, d), "lba"))
@@ -331,6 +336,16 @@ def gc_relocation(spark, d):
     return segments.relocate(placed, chosen, segments.reverse_index(placed), live, buffered)
 
 
+@query(f"WITH {P}, {QUOTA}, t AS (SELECT m.lba, m.wseq, m.tomb FROM m JOIN u ON m.seg = u.seg WHERE moved_before < 100 AND NOT m.tomb), f AS (SELECT max(seg) + 1 AS free FROM p) SELECT hba, lba, wseq, seg, tomb FROM p WHERE seg NOT IN (SELECT seg FROM u WHERE moved_before < 100) UNION ALL SELECT free * 256 + row_number() OVER (ORDER BY lba) - 1, lba, wseq, free + (row_number() OVER (ORDER BY lba) - 1) // 256, tomb FROM t, f")
+def gc_pass(spark, d):
+    placed = _placed(spark, d)
+    live = log.latest(placed)
+    chosen = segments.quota(segments.victims(live.groupBy("seg").agg(F.count("*").alias("nr_valid")), BATCH), 100)
+    moved = segments.relocate(placed, chosen, segments.reverse_index(placed), live, live.limit(0))
+    free = placed.agg(F.max("seg")).head()[0] + 1
+    return segments.collect_pass(placed, chosen, moved, free, BATCH)
+
+
 @query(f"WITH {P} SELECT p.hba, p.lba, m.hba <> p.hba AS stale FROM p JOIN m ON p.lba = m.lba")
 def staleness(spark, d):
     placed = _placed(spark, d)
@@ -402,10 +417,10 @@ def write_amplification(spark, d):
     return stats.write_amplification(event_log(spark, d), _placed(spark, d))
 
 
-@query()
+@query("WITH a AS (SELECT event_id // 500 AS stream, event_id AS seq, user_id AS leaf FROM events), b AS (SELECT *, lag(seq) OVER (PARTITION BY stream, leaf ORDER BY seq) AS prev FROM a), c AS (SELECT stream, prev IS NOT NULL AND (SELECT count(DISTINCT x.leaf) FROM a x WHERE x.stream = b.stream AND x.seq > b.prev AND x.seq < b.seq) < 64 AS hit FROM b) SELECT stream, count(*) FILTER (hit) AS n_hits, count(*) FILTER (NOT hit) AS n_misses FROM c GROUP BY stream")
 def lru_cache(spark, d):
-    rows = table(spark, d, "lineitem").select((F.col("l_suppkey") % 16).alias("stream"), F.xxhash64("l_orderkey", "l_linenumber", "l_partkey").alias("seq"), F.floor(F.col("l_orderkey") / LEAF_RECORDS).alias("leaf"))
-    return stats.lru_hits(rows.withColumn("seq", F.struct("seq", "leaf")), 64)
+    rows = table(spark, d, "events").select(addressing.whole(F.col("event_id"), 500).alias("stream"), F.col("event_id").alias("seq"), F.col("user_id").alias("leaf"))
+    return stats.lru_hits(rows, 64)
 
 
 @query("SELECT event_id AS sector, event_id // 8 AS block, event_id // 8 // 1024 AS segment, event_id // 8 % 1024 AS off, event_id // 64 AS bit_group, event_id % 64 AS bit FROM events")
@@ -475,7 +490,7 @@ def metadata_size(spark, d):
     return spark.createDataFrame([(2560, capacity.metadata_blocks(2560 + 320))], "data_segments long, metadata_blocks long")
 
 
-@query()
+@query("SELECT CAST(id AS BIGINT) AS id, valid FROM (VALUES (0, true), (1, false), (2, false)) t(id, valid)")
 def superblock_check(spark, d):
     from ..schema import SUPERBLOCK_MAGIC
 
@@ -485,6 +500,11 @@ def superblock_check(spark, d):
     return rows.select("id", ((F.col("magic") == SUPERBLOCK_MAGIC) & (F.col("csum") == crypto.crc32_be_column(body))).alias("valid"))
 
 
+@query("SELECT region, CAST(start AS BIGINT) AS start FROM (VALUES ('superblock', 0), ('index', 1), ('journal', 68152), ('segment_validity', 84536), ('segment_table', 84538), ('reverse_index', 84732), ('file_validity', 96254), ('file_catalogue', 96256), ('data', 96260)) t(region, start)")
+def superblock_geometry(spark, d):
+    return spark.createDataFrame([*capacity.region_starts(2560 + 320).items()], "region string, start long")
+
+
 @query()
 def journal_keys(spark, d):
     return spark.range(64).select(F.col("id").alias("blk"), F.lower(F.hex(crypto.journal_key(b"0123456789abcdef", F.col("id")))).alias("key"))
@@ -508,6 +528,11 @@ def journal_chain(spark, d):
     return journal.chained(journal.blocks(journal.records(event_log(spark, d)))).select("blk", "n", "mac", "prev_mac")
 
 
+@query(f"WITH {J} SELECT rec, kind, wseq, rec // 32 AS blk FROM j WHERE rec // 32 BETWEEN 5 AND 12")
+def journal_load(spark, d):
+    return journal.load(journal.records(event_log(spark, d)), 5, 12).select("rec", "kind", "wseq", "blk")
+
+
 @query("SELECT blk FROM (VALUES (3), (4)) t(blk)".replace("SELECT blk", "SELECT CAST(blk AS BIGINT) AS blk"))
 def journal_tamper(spark, d):
     stored = journal.chained(journal.blocks(journal.records(event_log(spark, d))))
