@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, staged, token_hashes
+from .common import bound_batches, read_table, staged, token_hashes
 
 #: Bytes of filter and word counts that are broadcast; beyond, n-grams go to the segments.
 BROADCAST_FILTER = 192 << 20
@@ -190,6 +190,7 @@ def train(docs: DataFrame) -> Model:
     import numpy as np
     import pyarrow as pa
 
+    bound_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).head().n or 0
     segments = max(8, size // SEGMENT_TEXT)
 
@@ -275,6 +276,7 @@ def score(docs: DataFrame, model: Model, broadcast: int = BROADCAST_FILTER) -> D
     made = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     rest = [c for c in docs.columns if c not in made]
     spark, segments, limit = docs.sparkSession, model.segments, len(thresholds())
+    bound_batches(spark)
     totals, rates = (model.tokens, model.types), model.rates()
     zero = F.lit(0).cast("long")
     done = docs.select(*rest).withColumns({"n_tokens": zero, "n_known": zero, "train_tokens": zero, "base_score": F.lit(0.0), "score": F.lit(0.0)}).schema

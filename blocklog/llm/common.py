@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Tables and broadcasts below this many bytes may go to every executor.
 BROADCAST_BYTES = 64 << 20
+#: Bytes of an Arrow batch of texts.
+BATCH_BYTES = 16 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +69,18 @@ def table_bytes(df: DataFrame) -> int:
     return total
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Send texts to Python workers in batches of BATCH_BYTES at most, for this session.
+
+    The default of 64 MB is held several times over by each task, in the
+    executor and in its worker.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(key).rstrip("b"))
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import bound_batches, read_table
 
 #: Elements whose text is never main text.
 VOID_TEXT = "aside button canvas dialog figcaption footer form head header iframe label menu nav noscript object option script select style svg template textarea"
@@ -139,6 +139,7 @@ def extract_text(pages: DataFrame, window: int = 3, threshold: int = 40) -> Data
             texts = [main_text(x.as_py(), window, threshold) for x in batch.column("html")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=[*rest, "text", "n_chars"])
 
+    bound_batches(pages.sparkSession)
     schema = pages.select(*rest, F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
     return pages.select(*rest, "html").mapInArrow(batches, schema)
 

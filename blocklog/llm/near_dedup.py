@@ -14,7 +14,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, drop_staged, read_table, staged, table_bytes
+from .common import BROADCAST_BYTES, bound_batches, read_table, staged, table_bytes
 from .components import roots
 
 #: Rows of one key that are linked in one task; larger keys are cut into chunks.
@@ -59,6 +59,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
             found = np.array([simhash(x.as_py(), shingle) for x in batch.column("text")], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
+    bound_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text")
     return rows.mapInArrow(batches, rows.select("doc_id", F.lit(0).cast("long").alias("fp")).schema)
 

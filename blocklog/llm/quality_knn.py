@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import bound_batches, read_table
 
 #: Character classes; their pairs are the terms.
 CLASSES = 32
@@ -118,6 +118,7 @@ def _features(rows: DataFrame, rest: list[str]) -> DataFrame:
             found = pa.array([term_counts(x.as_py(), table).tobytes() for x in batch.column("text")], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), found], names=[*rest, "counts"])
 
+    bound_batches(rows.sparkSession)
     return rows.select(*rest, "text").mapInArrow(batches, rows.select(*rest, F.lit(b"").alias("counts")).schema)
 
 
@@ -159,6 +160,7 @@ def score_quality(docs: DataFrame, model: Neighbours, threshold: float = 0.3, bl
 
     spark = docs.sparkSession
     rest = [c for c in docs.columns if c not in ("score", "predicted")]
+    bound_batches(spark)
     sent = spark.sparkContext.broadcast(model)
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

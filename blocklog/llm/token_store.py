@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, partitions, read_table, token_hashes, worker_cache
+from .common import bound_batches, new_path, partitions, read_table, token_hashes, worker_cache
 
 BLOCK = 4096
 #: Ids after which a segment is closed; a longer document is a segment of its own.
@@ -269,6 +269,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int, path: str, segment:
             yield close()
 
     spark = docs.sparkSession
+    bound_batches(spark)
     rows = docs.select("doc_id", "text").withColumn("h", F.xxhash64("text"))
     rows = rows.repartitionByRange(parts or partitions(spark), "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     rows.mapInArrow(segments, "part int, seg int, n_docs long, n_ids long, data binary").write.option("compression", "uncompressed").parquet(path)
