@@ -19,6 +19,8 @@ from .components import roots
 
 #: Rows of one key that are linked in one task; larger keys are cut into chunks.
 CHUNK = 4096
+#: A fingerprint is hot with over a HOT-th of all rows and over ``hot_rows`` rows, so there are HOT of them at most.
+HOT = 10_000
 #: Fingerprints per key that plan_masks() aims at.
 PER_KEY = 32
 
@@ -199,22 +201,28 @@ def links(prints: DataFrame, distance: int = 4, masks: list[list[int]] | None =
     return found.where("NOT over").select("a", "b").union(crossed)
 
 
-def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, masks: list[list[int]] | None = None, chunk: int = CHUNK) -> DataFrame:
+def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, masks: list[list[int]] | None = None, chunk: int = CHUNK, hot_rows: int = 1000) -> DataFrame:
     """(doc_id, fp, component_id) for each row: the least doc_id it is linked to.
 
     Rows link if their fingerprints differ in at most ``distance`` bits. Texts
     without words (or null) have fingerprint zero and link like any other. Rows
     with null doc_id have a component, whose id is null only if no other row is
     in it. Repeated rows stay; an empty table gives no rows. Equal fingerprints
-    are one node, so groups of copies cost one row each.
+    are one node, so groups of copies cost one row each; fingerprints of over
+    ``hot_rows`` rows, HOT at most, get their component by broadcast.
     """
     rows = staged(fingerprints(docs, shingle), "fingerprints")
-    nodes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    nodes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
     stars = staged(roots(links(nodes.select("fp"), distance, masks, chunk)), "stars")
     linked = nodes.join(stars, nodes["fp"] == stars["node"]).select("fp", "root", "least")
     named = linked.join(linked.groupBy("root").agg(F.min("least").alias("found")), "root").select(F.col("fp").alias("f"), "found")
-    named = nodes.join(named, nodes["fp"] == F.col("f"), "left").select(F.col("fp").alias("f"), F.coalesce("found", "least").alias("component_id"))
-    return rows.join(named, rows["fp"] == F.col("f")).select("doc_id", "fp", "component_id")
+    named = nodes.join(named, nodes["fp"] == F.col("f"), "left").select("fp", F.coalesce("found", "least").alias("component_id"), "n")
+    named = staged(named.withColumnRenamed("fp", "f"), "named")
+    many = nodes.agg(F.sum("n").alias("n")).head().n or 0
+    hot = F.broadcast(named.where(F.col("n") > max(hot_rows, many // HOT)))
+    mine = rows.join(hot, rows["fp"] == F.col("f"))
+    rest = rows.join(hot, rows["fp"] == F.col("f"), "left_anti").join(named, rows["fp"] == F.col("f"))
+    return mine.select("doc_id", "fp", "component_id").union(rest.select("doc_id", "fp", "component_id"))
 
 
 def one_of_each(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFrame:

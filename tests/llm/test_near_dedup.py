@@ -92,7 +92,9 @@ def test_documents(spark, prose):
     prints = [slow_print(t) for _, t in docs]
     label = groups(prints, 4)
     least = {g: min(i for (i, _), x in zip(docs, label, strict=True) if x == g and i is not None) for g in set(label)}
+    hot = op.near_duplicates(df, hot_rows=2).collect()
     got = op.near_duplicates(df).collect()
+    assert sorted(hot, key=str) == sorted(got, key=str)
     assert sorted([(r.doc_id, r.component_id) for r in got], key=str) == sorted([(i, least[g]) for (i, _), g in zip(docs, label, strict=True)], key=str)
     kept = op.one_of_each(df)
     assert kept.columns == df.columns
