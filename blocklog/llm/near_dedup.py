@@ -50,8 +50,8 @@ def simhash(text: str | None, shingle: int = 4) -> int:
     return int(np.packbits(counts * 2 > len(firsts), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint's bits as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = 4, key: str = "doc_id") -> DataFrame:
+    """(key, fp) of every row; fp is the fingerprint's bits as a signed long."""
     import pyarrow as pa
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,11 +59,11 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
 
         for batch in stream:
             found = np.array([simhash(x.as_py(), shingle) for x in batch.column("text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(found.view(np.int64))], names=[key, "fp"])
 
     bound_batches(docs.sparkSession)
-    rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(batches, rows.select("doc_id", F.lit(0).cast("long").alias("fp")).schema)
+    rows = docs.select(key, "text")
+    return rows.mapInArrow(batches, rows.select(key, F.lit(0).cast("long").alias("fp")).schema)
 
 
 def plan_masks(distance: int, count: int) -> list[list[int]]:
@@ -201,42 +201,58 @@ def links(prints: DataFrame, distance: int = 4, masks: list[list[int]] | None =
     return found.where("NOT over").select("a", "b").union(crossed)
 
 
-def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, masks: list[list[int]] | None = None, chunk: int = CHUNK, hot_rows: int = 1000) -> DataFrame:
-    """(doc_id, fp, component_id) for each row: the least doc_id it is linked to.
+def first_linked(docs: DataFrame, key: str, distance: int = 4, shingle: int = 4, masks: list[list[int]] | None = None, chunk: int = CHUNK, hot_rows: int = 1000) -> DataFrame:
+    """(key, fp, first) for each row: the least ``key`` it is linked to, nulls left out.
 
-    Rows link if their fingerprints differ in at most ``distance`` bits. Texts
-    without words (or null) have fingerprint zero and link like any other. Rows
-    with null doc_id have a component, whose id is null only if no other row is
-    in it. Repeated rows stay; an empty table gives no rows. Equal fingerprints
-    are one node, so groups of copies cost one row each; fingerprints of over
-    ``hot_rows`` rows, HOT at most, get their component by broadcast.
+    Equal fingerprints are one node, so groups of copies cost one row each;
+    fingerprints of over ``hot_rows`` rows, HOT at most, get their component by
+    broadcast.
     """
-    rows = staged(fingerprints(docs, shingle), "fingerprints")
-    nodes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
+    rows = staged(fingerprints(docs, shingle, key), "fingerprints")
+    nodes = staged(rows.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("n")), "nodes")
     stars = staged(roots(links(nodes.select("fp"), distance, masks, chunk)), "stars")
     linked = nodes.join(stars, nodes["fp"] == stars["node"]).select("fp", "root", "least")
     named = linked.join(linked.groupBy("root").agg(F.min("least").alias("found")), "root").select(F.col("fp").alias("f"), "found")
-    named = nodes.join(named, nodes["fp"] == F.col("f"), "left").select("fp", F.coalesce("found", "least").alias("component_id"), "n")
+    named = nodes.join(named, nodes["fp"] == F.col("f"), "left").select("fp", F.coalesce("found", "least").alias("first"), "n")
     named = staged(named.withColumnRenamed("fp", "f"), "named")
     many = nodes.agg(F.sum("n").alias("n")).head().n or 0
     hot = F.broadcast(named.where(F.col("n") > max(hot_rows, many // HOT)))
     mine = rows.join(hot, rows["fp"] == F.col("f"))
     rest = rows.join(hot, rows["fp"] == F.col("f"), "left_anti").join(named, rows["fp"] == F.col("f"))
-    return mine.select("doc_id", "fp", "component_id").union(rest.select("doc_id", "fp", "component_id"))
+    return mine.select(key, "fp", "first").union(rest.select(key, "fp", "first"))
+
+
+def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, masks: list[list[int]] | None = None, chunk: int = CHUNK, hot_rows: int = 1000) -> DataFrame:
+    """(doc_id, fp, component_id) for each row: the least doc_id it is linked to.
+
+    Rows link if their fingerprints differ in at most ``distance`` bits. Texts
+    without words (or null) have fingerprint zero and link like any other. Rows
+    with null doc_id have a component, whose id is null only if no other row is
+    in it. Repeated rows stay; an empty table gives no rows.
+    """
+    return first_linked(docs, "doc_id", distance, shingle, masks, chunk, hot_rows).withColumnRenamed("first", "component_id")
 
 
 def one_of_each(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFrame:
-    """The rows of ``docs`` with one row for each component: its least doc_id."""
-    found = staged(near_duplicates(docs, distance, shingle), "components")
-    gone = staged(found.groupBy("doc_id").agg(F.min(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("first"), F.count("*").alias("n")).where("NOT first OR n > 1"), "gone")
-    ids = gone.where("NOT first").select(F.col("doc_id").alias("d"))
+    """The rows of ``docs`` with one row for each component: its least doc_id, null ids last.
+
+    Rows are told apart by doc_id and hash of the text (null counts as empty),
+    so neither null ids nor several texts under one id take other documents
+    along. Of rows equal in both one stays, and only if it is its component's.
+    """
+    copy = F.xxhash64(F.coalesce("text", F.lit("")))
+    keyed = docs.select(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", copy.alias("copy")).alias("key"), "text")
+    found = staged(first_linked(keyed, "key", distance, shingle).select(F.col("key.doc_id").alias("d"), F.col("key.copy").alias("c"), F.col("key").eqNullSafe(F.col("first")).alias("first")), "components")
+    gone = staged(found.groupBy("d", "c").agg(F.min("first").alias("first"), F.count("*").alias("n")).where("NOT first OR n > 1"), "gone")
+    own = docs["doc_id"].eqNullSafe(F.col("d")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("c"))
+    ids = gone.where("NOT first").select("d", "c")
     side = F.broadcast(ids) if table_bytes(gone) <= BROADCAST_BYTES // 8 else ids
-    kept = docs.join(side, docs["doc_id"].eqNullSafe(F.col("d")), "left_anti")
-    twice = gone.where("first AND n > 1").select(F.col("doc_id").alias("d"))
+    kept = docs.join(side, own, "left_anti")
+    twice = gone.where("first AND n > 1").select("d", "c")
     if not twice.head(1):
         return kept
-    again = kept.join(twice, kept["doc_id"].eqNullSafe(F.col("d")), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(twice, kept["doc_id"].eqNullSafe(F.col("d")), "left_anti").unionByName(again)
+    again = kept.join(twice, own, "left_semi").withColumn("_copy", copy).dropDuplicates(["doc_id", "_copy"]).drop("_copy")
+    return kept.join(twice, own, "left_anti").unionByName(again)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

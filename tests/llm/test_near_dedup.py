@@ -102,6 +102,32 @@ def test_documents(spark, prose):
     assert op.near_duplicates(df.limit(0)).count() == 0
 
 
+def near(text):
+    words = text.split()
+    words[len(words) // 2] = "changed"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize(
+    ("rows", "want"),
+    [
+        ([(None, "a"), (None, "b"), (None, "c"), (None, None), (None, "")], {(None, "a"), (None, "b"), (None, "c"), (None, "")}),
+        ([(3, "a"), (None, "near a"), (None, "b"), (None, "c")], {(3, "a"), (None, "b"), (None, "c")}),
+        ([(5, "a"), (9, "a"), (5, "near b"), (3, "b")], {(5, "a"), (3, "b")}),
+        ([(5, "a"), (5, "b"), (5, "b"), (None, "c"), (None, "c"), (None, "near c")], {(5, "a"), (5, "b"), (None, "c")}),
+        ([(5, "near a"), (5, "a"), (None, "a")], {(5, "a")}),
+    ],
+)
+def test_ids_that_are_null_or_stand_for_several_texts(spark, prose, rows, want):
+    texts = {"": "", None: ""} | {name: prose(seed, 300) for seed, name in enumerate("abc", 1)}
+    texts |= {f"near {name}": near(texts[name]) for name in "abc"}
+    assert all((slow_print(texts[x]) ^ slow_print(texts[f"near {x}"])).bit_count() <= 4 for x in "abc")
+    names = {t: n.removeprefix("near ") for n, t in texts.items() if n is not None}
+    df = spark.createDataFrame([(i, t and texts[t], 1) for i, t in rows], "doc_id long, text string, n long")
+    got = op.one_of_each(df).collect()
+    assert sorted(((r.doc_id, names[r.text or ""]) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_a_chain_is_one_component(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in roots(links).collect()}
