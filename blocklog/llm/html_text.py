@@ -71,8 +71,13 @@ def line_weights(html: str) -> tuple[list[str], list[int], bool]:
                 flush()
             if name in empty or m[4].endswith("/"):
                 continue
-            if name == "p" and stack and stack[-1][0] == "p":
-                stack.pop()
+            if name == "p":  # ends an open one, with what is open inside it
+                k = len(stack) - 1
+                while k >= 0 and not (stack[k][0] in blocks or stack[k][0] in skip):
+                    k -= 1
+                if k >= 0 and stack[k][0] == "p":
+                    skipped, inside = stack[k][1:]
+                    del stack[k:]
             if name == "body":
                 stack.clear()
                 skipped = inside = False

@@ -26,6 +26,11 @@ def test_pages(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize("marked", ["<p class=ad>buy", "<p class=ad>buy<p id=promo>now", "<p role=menu>buy <b>now"])
+def test_an_unclosed_marked_paragraph_ends_at_the_next(marked):
+    assert main_text(f"<article><p>one{marked}<p>two</p><p>three</p></article><p>outside") == "one two three"
+
+
 def test_line_blocks_without_an_article():
     body = "".join(f"<p>{'word ' * 12}{i}</p>" for i in range(5))
     page = f"<body><ul>{''.join(f'<li><a href=/{i}>l{i}</a></li>' for i in range(8))}</ul><p></p><div id=content>{body}<p>short</p></div><div class='cookie-notice'>We use</div><footer>c</footer></body>"
