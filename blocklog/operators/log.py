@@ -47,7 +47,8 @@ def hole_fill(pending: DataFrame, live: DataFrame, per_segment: int, segments: D
 
     ``live`` has (seg, off) of occupied slots; ``segments`` (seg) those that may
     be filled. Segments take as many rows as they have holes, so ranks meet by
-    segment ranges, and only slots that are filled are made.
+    segment ranges, and only slots that are filled are made. Pending rows beyond
+    the last hole are returned with null seg, off and hba.
     """
     used = live.groupBy("seg").agg(F.count("*").alias("live"), F.collect_set("off").alias("offs"))
     open_ = segments.join(used, "seg", "left").select("seg", F.coalesce("live", F.lit(0)).alias("live"), F.coalesce("offs", F.array().cast("array<bigint>")).alias("offs")).where(F.col("live") < per_segment)
@@ -59,4 +60,4 @@ def hole_fill(pending: DataFrame, live: DataFrame, per_segment: int, segments: D
     slots = slots.select((F.col("first") + F.col("k")).alias("rank"), "seg", "off")
     from ..sources.tables import dense_rank_of
 
-    return dense_rank_of(pending, "lba").join(slots, "rank").select("lba", "seg", "off", (F.col("seg") * per_segment + F.col("off")).alias("hba"))
+    return dense_rank_of(pending, "lba").join(slots, "rank", "left").select("lba", "seg", "off", (F.col("seg") * per_segment + F.col("off")).alias("hba"))

@@ -391,6 +391,13 @@ def hole_fill(spark, d):
     return log.hole_fill(pending, live, BATCH, live.select("seg").distinct())
 
 
+@query(f"WITH {P}, {FILL.replace(' WHERE c_custkey < 90', '')} SELECT lba, CAST(seg AS BIGINT) AS seg, CAST(off AS BIGINT) AS off, CAST(seg * 256 + off AS BIGINT) AS hba FROM q LEFT JOIN h ON q.rank = h.rank")
+def hole_fill_all(spark, d):
+    live = _live(spark, d).select("seg", (F.col("hba") % BATCH).alias("off"))
+    pending = table(spark, d, "customer").select(F.col("c_custkey").alias("lba"))
+    return log.hole_fill(pending, live, BATCH, live.select("seg").distinct())
+
+
 @query("SELECT i AS idx, CASE WHEN i % 10 = 3 THEN i * 2 ELSE -1 END AS value FROM range(1000) t(i)")
 def disk_array(spark, d):
     changes = spark.range(0, 1200).where("id % 10 = 3").select(F.col("id").alias("idx"), (F.col("id") * 2).alias("value"))

@@ -91,6 +91,13 @@ def test_hole_fill_takes_the_fullest_first(spark):
     assert sorted((r.lba, r.seg, r.off) for r in got) == [(10, 1, 1), (20, 1, 3), (30, 0, 1)]
 
 
+def test_hole_fill_returns_rows_beyond_the_holes(spark):
+    live = spark.createDataFrame([(0, 0), (0, 1), (1, 0), (1, 1), (1, 2)], "seg long, off long")
+    pending = spark.createDataFrame([(k,) for k in (50, 10, 40, 20, 30)], "lba long")
+    got = log.hole_fill(pending, live, 3, live.select("seg").distinct()).collect()
+    assert sorted(map(tuple, got)) == [(10, 0, 2, 2), *((k, None, None, None) for k in (20, 30, 40, 50))]
+
+
 def test_next_free_wraps(spark):
     t = spark.createDataFrame([(0, False), (1, True), (2, True)], "seg long, valid boolean")
     assert segments.next_free(t, 1).head().seg == 0
