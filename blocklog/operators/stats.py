@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.addressing import whole
 from ..schema import BLOCK_BYTES, LEAF_CACHE
 
 
@@ -67,3 +68,36 @@ def lru_hits(accesses: DataFrame, capacity: int = LEAF_CACHE) -> DataFrame:
 
     rows = accesses.select("stream", "seq", "leaf").repartition("stream").sortWithinPartitions("stream", "seq")
     return rows.mapInArrow(replay, "stream long, n_hits long, n_misses long")
+
+
+def lru_hits_whole(accesses: DataFrame, capacity: int = LEAF_CACHE, part: int = 65536) -> DataFrame:
+    """(n_hits, n_misses) of one cache over all accesses (seq, leaf), never emptied.
+
+    A cache holds the ``capacity`` leaves used last, so what it holds where a
+    part of ``part`` sequence numbers starts follows from the last leaves of the
+    parts before. Parts are replayed in parallel, each after the leaves that it
+    finds; these are all different and never hit. One task reads at most
+    ``capacity`` rows of each part to pass them on.
+    """
+    import pyarrow as pa
+
+    def passed_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}  # leaf: seq, the one used last at the end
+        now = None
+        for batch in batches:
+            for stream, seq, leaf in zip(*(batch.column(c).to_pylist() for c in ("stream", "seq", "leaf")), strict=True):
+                if stream != now:
+                    held = dict([*held.items()][-capacity:])
+                    now = stream
+                    yield pa.RecordBatch.from_arrays([pa.array([now] * len(held), pa.int64()), pa.array(held.values(), pa.int64()), pa.array(held.keys(), pa.int64())], names=["stream", "seq", "leaf"])
+                held.pop(leaf, None)
+                held[leaf] = seq
+
+    seq = F.col("seq").cast("long")
+    rows = accesses.select(whole(seq, part).cast("long").alias("stream"), seq.alias("seq"), F.col("leaf").cast("long").alias("leaf"))
+    last = rows.groupBy("stream", "leaf").agg(F.max("seq").alias("seq"))
+    by = Window.partitionBy("stream").orderBy(F.desc("seq"))
+    last = last.withColumn("k", F.row_number().over(by)).where(F.col("k") <= capacity).select("stream", "seq", "leaf")
+    found = last.repartition(1).sortWithinPartitions("stream", "seq").mapInArrow(passed_on, "stream long, seq long, leaf long")
+    hits = lru_hits(rows.union(found), capacity).agg(F.coalesce(F.sum("n_hits"), F.lit(0)).alias("n_hits"))
+    return hits.crossJoin(rows.agg(F.count("*").alias("n"))).select("n_hits", (F.col("n") - F.col("n_hits")).alias("n_misses"))

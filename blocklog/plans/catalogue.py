@@ -430,6 +430,11 @@ def lru_cache(spark, d):
     return stats.lru_hits(rows, 64)
 
 
+@query()
+def lru_cache_whole(spark, d):
+    return stats.lru_hits_whole(table(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("leaf")))
+
+
 @query("SELECT event_id AS sector, event_id // 8 AS block, event_id // 8 // 1024 AS segment, event_id // 8 % 1024 AS off, event_id // 64 AS bit_group, event_id % 64 AS bit FROM events")
 def address_math(spark, d):
     s = F.col("event_id")

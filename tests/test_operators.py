@@ -127,6 +127,31 @@ def test_lru(spark):
     assert sorted(map(tuple, got)) == [(0, 2, 5), (1, 2, 5)]
 
 
+def slow_lru(leaves, capacity):
+    hits, used = 0, []
+    for leaf in leaves:
+        hits += leaf in used[-capacity:]
+        used = [x for x in used if x != leaf] + [leaf]
+    return hits, len(leaves) - hits
+
+
+@pytest.mark.parametrize(("capacity", "part"), [(3, 7), (20, 5), (4, 1000)])
+def test_lru_over_all_parts(spark, capacity, part):
+    r = random.Random(6)
+    leaves = [min(r.randrange(12), r.randrange(12)) + i // 100 for i in range(300)]
+    rows = spark.createDataFrame([(i + 50 * (i > 200), leaf) for i, leaf in enumerate(leaves)], "seq long, leaf long")
+    assert tuple(stats.lru_hits_whole(rows, capacity, part).head()) == slow_lru(leaves, capacity)
+    assert tuple(stats.lru_hits_whole(rows.limit(0), capacity, part).head()) == (0, 0)
+
+
+def test_lru_of_the_whole_event_log(spark, data):
+    from blocklog.plans import catalogue
+    from blocklog.schema import LEAF_CACHE
+
+    leaves = [x.user_id for x in spark.read.parquet(f"{data}/events.parquet").orderBy("event_id").collect()]
+    assert tuple(catalogue.QUERIES["lru_cache_whole"](spark, data).head()) == slow_lru(leaves, LEAF_CACHE)
+
+
 def test_empty_log(spark):
     empty = spark.createDataFrame([], W)
     assert log.latest(empty).count() == log.place(empty, 8).count() == 0
