@@ -239,20 +239,22 @@ def one_of_each(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFra
     Rows are told apart by doc_id and hash of the text (null counts as empty),
     so neither null ids nor several texts under one id take other documents
     along. Of rows equal in both one stays, and only if it is its component's.
+    Other columns may have any name and pass unchanged.
     """
     copy = F.xxhash64(F.coalesce("text", F.lit("")))
     keyed = docs.select(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", copy.alias("copy")).alias("key"), "text")
     found = staged(first_linked(keyed, "key", distance, shingle).select(F.col("key.doc_id").alias("d"), F.col("key.copy").alias("c"), F.col("key").eqNullSafe(F.col("first")).alias("first")), "components")
     gone = staged(found.groupBy("d", "c").agg(F.min("first").alias("first"), F.count("*").alias("n")).where("NOT first OR n > 1"), "gone")
-    own = docs["doc_id"].eqNullSafe(F.col("d")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("c"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), copy.alias("own_copy"))
+    own = F.col("own_id").eqNullSafe(F.col("d")) & (F.col("own_copy") == F.col("c"))
     ids = gone.where("NOT first").select("d", "c")
     side = F.broadcast(ids) if table_bytes(gone) <= BROADCAST_BYTES // 8 else ids
-    kept = docs.join(side, own, "left_anti")
+    kept = rows.join(side, own, "left_anti")
     twice = gone.where("first AND n > 1").select("d", "c")
     if not twice.head(1):
-        return kept
-    again = kept.join(twice, own, "left_semi").withColumn("_copy", copy).dropDuplicates(["doc_id", "_copy"]).drop("_copy")
-    return kept.join(twice, own, "left_anti").unionByName(again)
+        return kept.select("row.*")
+    again = kept.join(twice, own, "left_semi").dropDuplicates(["own_id", "own_copy"])
+    return kept.join(twice, own, "left_anti").unionByName(again).select("row.*")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,3 +132,13 @@ def test_a_chain_is_one_component(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in roots(links).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+
+
+def test_one_of_each_with_names_of_its_own_and_several_texts_of_an_id(spark, prose):
+    a, b = prose(1, 40), prose(2, 40)
+    names = ["d", "c", "first", "key", "copy", "row", "own_id", "own_copy", "fp", "n"]
+    rows = [(5, a), (7, a), (5, b), (3, b), (None, prose(3, 40)), (None, prose(4, 40))]
+    df = spark.createDataFrame([(i, t, *range(len(names))) for i, t in rows], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    got = op.one_of_each(df)
+    assert got.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == sorted([(5, a), (3, b), (0, rows[4][1]), (0, rows[5][1])])
