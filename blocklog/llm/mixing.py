@@ -77,11 +77,13 @@ def mix(docs: DataFrame, total: float | None = None, share: float = 0.5, weights
     Null levels are the empty name. Documents without tokens are taken where
     budget is left. Repeated rows count each for itself; rows that tie in an
     epoch's order (equal doc_id and tokens) share one place: all or none of them
-    is taken. An empty table gives no rows. The driver holds one total per leaf.
+    is taken. Other columns may have any name and pass unchanged, but ``epoch`` is
+    replaced. An empty table gives no rows. The driver holds one total per leaf.
     """
     names = [f"_{c}" for c in levels]
-    rows = docs.withColumns({n: F.coalesce(F.col(c).cast("string"), F.lit("")) for n, c in zip(names, levels, strict=True)})
-    small = staged(rows.select("doc_id", "n_tokens", *names), "mix-rows")
+    kept = [c for c in docs.columns if c != "epoch"]
+    rows = docs.select(F.struct(*kept).alias("row"), "doc_id", "n_tokens", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for n, c in zip(names, levels, strict=True)])
+    small = staged(rows.drop("row"), "mix-rows")
     sums = small.groupBy(*names).agg(F.sum("n_tokens").alias("n")).collect()
     tokens = {tuple(r[:-1]): int(r[-1]) for r in sums}
     target = share * sum(tokens.values()) if total is None else total
@@ -113,7 +115,7 @@ def mix(docs: DataFrame, total: float | None = None, share: float = 0.5, weights
     chosen = rows.join(side(cut), names).withColumn("place", order)
     chosen = chosen.withColumn("bucket", bucket)
     chosen = chosen.where(F.col("whole") | (F.col("bucket") <= F.coalesce("last_bucket", F.lit(-1))) | F.coalesce(own <= F.col("last"), F.lit(False)))
-    return chosen.select(*docs.columns, "epoch")
+    return chosen.select("row.*", "epoch")
 
 
 def with_domain(docs: DataFrame) -> DataFrame:

@@ -86,3 +86,13 @@ def test_words(spark):
 
     rows = spark.createDataFrame([(None,), ("",), (" a  b\t\n",), ("x\x1cy",)], "t string")
     assert [r.n for r in rows.select(op.word_count(F.col("t")).alias("n")).collect()] == [0, 0, 2, 1]
+
+
+def test_names_of_its_own_pass_unchanged(spark):
+    names = ["whole", "budget", "last", "last_bucket", "place", "bucket", "before", "row", "_domain", "n"]
+    rows = [(i, 10, "x", "en", "s", *[f"v{i}"] * len(names), 7) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, n_tokens long, domain string, lang string, source string, " + ", ".join(f"{n} string" for n in names) + ", epoch int")
+    got = op.mix(df, share=0.5)
+    assert got.columns == df.columns
+    got = got.collect()
+    assert len(got) == 10 and all(r[n] == f"v{r.doc_id}" for r in got for n in names) and {r.epoch for r in got} == {0}
