@@ -33,6 +33,21 @@ CACHE = 800_000
 DOCS = 1500
 
 
+# How the tokenizers that Encoder cuts into words normalise and split.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
+def by_words(tokenizer: str) -> bool:
+    """Whether a tokenizers file normalises and splits as Encoder's word path assumes."""
+    import json
+
+    with open(tokenizer, encoding="utf-8") as f:
+        held = json.load(f)
+    before = held.get("pre_tokenizer") or {}
+    return held.get("normalizer") == NORMALIZER and before.get("pretokenizers", [None])[0] == SPLIT and not held.get("post_processor")
+
+
 def pack_block(ids, percentile: float = 98.0) -> bytes:
     import numpy as np
 
@@ -227,12 +242,14 @@ class Encoder:
         return np.diff(last, prepend=0), found
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end: int, path: str, segment: int = SEGMENT, whole: bool = False, parts: int | None = None) -> None:
+def write_tokens(docs: DataFrame, tokenizer: str, end: int, path: str, segment: int = SEGMENT, whole: bool | None = None, parts: int | None = None) -> None:
     """Encode every whole text and write segments in ascending doc_id order.
 
     A null text is empty; a null doc_id comes first. Rows of one doc_id are
     ordered by the hash of their text and all kept, so that repeated ids can
     also be dealt to several partitions. An empty table writes no segments.
+    ``whole`` encodes each text in one call; unset, that is done for tokenizers
+    that by_words() doesn't know.
     Rows at ``path``: part, seg (both ascending), n_docs, n_ids, data.
     """
     import pyarrow as pa
@@ -269,6 +286,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int, path: str, segment:
             yield close()
 
     spark = docs.sparkSession
+    whole = not by_words(tokenizer) if whole is None else whole
     bound_batches(spark)
     rows = docs.select("doc_id", "text").withColumn("h", F.xxhash64("text"))
     rows = rows.repartitionByRange(parts or partitions(spark), "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")

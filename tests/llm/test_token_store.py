@@ -70,3 +70,18 @@ def test_documents_in_order(spark, tmp_path, prose):
         texts[r.doc_id].remove((r.n_tokens, r.ids_crc32))
         at += r.n_tokens
     assert op.encode_documents(df.limit(0)).count() == 0
+
+
+def test_other_tokenizers_encode_whole_texts(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from blocklog.llm import token_store
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert token_store.by_words(token_store.word_bpe()) and not token_store.by_words(path)
+    texts = ["Hello  world", " it's 42\n\nlines ", "", "é ß"]
+    token_store.write_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, 0, f"file://{tmp_path}/t")
+    got = token_store.read_tokens(spark, f"file://{tmp_path}/t").orderBy("doc_id").collect()
+    own = Tokenizer.from_file(path)
+    assert [r.n_tokens for r in got] == [len(own.encode(t, add_special_tokens=False).ids) + 1 for t in texts]
