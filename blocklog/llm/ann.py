@@ -179,7 +179,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float =
     the Euclidean distance of the original vectors in doubles; ties go to the
     smaller vec_id. Vectors that are null, zero, of another size than most, or
     hold null or non-finite components take no part, nor do rows without vec_id.
-    Equal rows are one candidate; a repeated query is answered once, by its
+    A repeated vec_id is one candidate, at its nearest vector; a repeated query is answered once, by its
     least vector. Fewer candidates than k give fewer results, empty
     tables none.
 
@@ -256,7 +256,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float =
     right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("list", F.col("block").cast("long").alias("block"), "chunk", "query_id", "q", "bound")
     key = ["list", "block", "chunk"]
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(met, "query_id long, vec_id long, score double")
-    found = found.union(near).distinct()
+    found = found.union(near).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
