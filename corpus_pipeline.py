@@ -30,10 +30,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark passage."""
     items = read_table(spark, sf_dir, "benchmark").select("item_id", "text")
-    found = staged(find_contamination(docs, items).where("contaminated").select(F.col("doc_id").alias("d"), F.col("copy").alias("c")).distinct(), "contaminated")
+    found = staged(find_contamination(docs.select("doc_id", "text"), items).where("contaminated").select(F.col("doc_id").alias("d"), F.col("copy").alias("c")).distinct(), "contaminated")
     side = F.broadcast(found) if table_bytes(found) <= BROADCAST_BYTES // 8 else found
-    own = docs["doc_id"].eqNullSafe(F.col("d")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("c"))
-    return docs.join(side, own, "left_anti")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("own_copy"))
+    return rows.join(side, F.col("own_id").eqNullSafe(F.col("d")) & (F.col("own_copy") == F.col("c")), "left_anti").select("row.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document that its leaf takes in two epochs stands twice.
     """
-    return mix(with_domain(docs)).select(*docs.columns)
+    return mix(with_domain(docs.select(F.struct("*").alias("whole"), "doc_id", "text", "lang", "source"))).select("whole.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
