@@ -7,6 +7,7 @@ is renamed into place. Readers pin a snapshot and see immutable files.
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,8 +75,10 @@ class Store:
         for k, v in (counted or {}).items():
             counters[k] = counters.get(k, 0) + v
         new = Snapshot(old.number + 1, max([f.version + 1 for f in files] + [old.next_version]), max([f.id + 1 for f in files] + [old.next_id]), files, counters)
-        fs, part = self._fs(f"{self.path}/snapshots/.{new.number:012d}.part")
+        fs, part = self._fs(f"{self.path}/snapshots/.{new.number:012d}-{uuid.uuid4().hex}.part")
         _, final = self._fs(f"{self.path}/snapshots/{new.number:012d}.json")
+        if fs.exists(final):
+            raise RuntimeError(f"snapshot {new.number} exists already: another writer was first")
         out = fs.create(part, True)
         out.write(json.dumps(asdict(new)).encode())
         out.close()
@@ -89,14 +92,22 @@ class Store:
 
     # -- writing -----------------------------------------------------------
 
+    def _new_run(self, id_: int) -> str:
+        """A folder that no other writer has, so that one that loses the race for a snapshot harms no run."""
+        return f"{self.path}/runs/{id_:08d}-{uuid.uuid4().hex}"
+
     def _write_run(self, rows: DataFrame, level: int, version: int, id_: int) -> RunFile | None:
-        path = f"{self.path}/runs/{id_:08d}"
-        rows.select("lba", "version", "tomb", "payload").sortWithinPartitions("lba").write.mode("overwrite").parquet(path)
+        path = self._new_run(id_)
+        rows.select("lba", "version", "tomb", "payload").sortWithinPartitions("lba").write.parquet(path)
         s = self.spark.read.schema(ROW).parquet(path).agg(F.min("lba").alias("a"), F.max("lba").alias("b"), F.count("*").alias("n")).head()
         return RunFile(id_, level, version, s.a, s.b, s.n, path) if s.n else None
 
-    def append(self, rows: DataFrame) -> None:
-        """Flush a batch (wseq, lba, tomb, payload) as one level-0 run, newest write per key."""
+    def append(self, rows: DataFrame, counted: dict[str, int] | None = None) -> None:
+        """Flush a batch (wseq, lba, tomb, payload) as one level-0 run, newest write per key.
+
+        ``counted`` is added to the counters by the same snapshot that shows the
+        run; of a batch without rows it makes a snapshot of its own.
+        """
         version, id_ = self.snapshot.next_version, self.snapshot.next_id
         if len(self.level(0)) >= self.level0:
             self.compact()
@@ -106,7 +117,9 @@ class Store:
         parts = max(1, self.spark.sparkContext.defaultParallelism)
         run = self._write_run(batch.repartitionByRange(parts, "lba"), 0, version, id_)
         if run:
-            self.commit([*self.snapshot.files, run], {"flushes": 1, "records_written": run.nr_record})
+            self.commit([*self.snapshot.files, run], {"flushes": 1, "records_written": run.nr_record} | (counted or {}))
+        elif counted:
+            self.commit(self.snapshot.files, counted)
 
     def delete(self, keys: DataFrame) -> None:
         """Tombstones for the keys (lba)."""
@@ -133,8 +146,8 @@ class Store:
         merged = merge_runs([self._read([f]) for f in [*demoted, *relative]])
         total = sum(f.nr_record for f in [*demoted, *relative])
         parts = -(-total // self.records)
-        path = f"{self.path}/runs/{id_:08d}"
-        merged.select("lba", "version", "tomb", "payload").repartitionByRange(parts, "lba").sortWithinPartitions("lba").write.mode("overwrite").parquet(path)
+        path = self._new_run(id_)
+        merged.select("lba", "version", "tomb", "payload").repartitionByRange(parts, "lba").sortWithinPartitions("lba").write.parquet(path)
         out = self.spark.read.schema(ROW).parquet(path).withColumn("f", F.col("_metadata.file_path"))
         made = out.groupBy("f").agg(F.min("lba").alias("a"), F.max("lba").alias("b"), F.count("*").alias("n")).orderBy("a").collect()
         files = [RunFile(id_ + i, 1, version, r.a, r.b, r.n, r.f) for i, r in enumerate(made)]

@@ -53,3 +53,17 @@ def test_sealing_counts_distinct_keys(spark):
     keys = [1, 1, 2, 3, 1, 4, 4, 5, 1, 2]
     got = seal_segments(spark.createDataFrame([(0, i, k) for i, k in enumerate(keys)], "stream long, wseq long, lba long"), capacity=3).orderBy("wseq").collect()
     assert [r.seg for r in got] == [0, 0, 0, 0, 0, 1, 1, 1, 1, 2]
+
+
+def test_a_writer_that_loses_harms_no_run(spark, tmp_path):
+    one, two = (Store(spark, f"file://{tmp_path}/s") for _ in range(2))
+    one.append(spark.createDataFrame([(0, 1, False, "a")], W))
+    with pytest.raises(RuntimeError):
+        two.append(spark.createDataFrame([(0, 2, False, "b")], W))
+    assert {x.lba: x.payload for x in Store(spark, one.path).scan().collect()} == {1: "a"}
+
+
+def test_a_batch_and_its_number_are_one_snapshot(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    store.append(spark.createDataFrame([(0, 1, False, "a")], W), {"next_batch": 1})
+    assert store.snapshot.number == 1 and Store(spark, store.path).stats()["next_batch"] == 1
