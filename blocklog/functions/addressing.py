@@ -10,7 +10,8 @@ from ..schema import BLOCKS_PER_SEGMENT, SECTORS_PER_BLOCK, WORD_BITS
 
 def whole(a: Column, n: int) -> Column:
     """Integer quotient of non-negative longs."""
-    return F.floor(a / F.lit(n)).cast("long") if n & (n - 1) else F.shiftright(a.cast("long"), n.bit_length() - 1)
+    a = a.cast("long")
+    return F.call_function("div", a, F.lit(n).cast("long")) if n & (n - 1) else F.shiftright(a, n.bit_length() - 1)
 
 
 def sector_to_block(sector: Column) -> Column:

@@ -64,3 +64,12 @@ def test_addresses(spark):
     b = addressing.sector_to_block(F.col("s"))
     got = rows.select("s", b.alias("b"), addressing.block_to_segment(b).alias("g"), addressing.offset_in_segment(b).alias("o")).collect()
     assert [(r.b, r.g, r.o) for r in got] == [(r.s // 8, r.s // 8 // 1024, r.s // 8 % 1024) for r in got]
+
+
+def test_quotients_of_longs_are_exact(spark):
+    from pyspark.sql import functions as F
+
+    from blocklog.functions.addressing import whole
+
+    n = 9007199254740993 * 500 + 499
+    assert spark.range(1).select(whole(F.lit(n), 500).alias("q")).head().q == 9007199254740993
