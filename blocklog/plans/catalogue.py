@@ -202,7 +202,7 @@ def relative_files(spark, d):
     return runs.relative_files(runs.file_stats(top), _order_stats(spark, d)).select("file_id", "first_key", "last_key", "nr_record")
 
 
-@query(f"WITH {ORUNS}, d AS (SELECT * FROM s WHERE file_id = 0), o AS (SELECT * FROM s WHERE file_id >= 2) SELECT (SELECT count(*) FROM d) AS n_demoted, (SELECT count(*) FROM o, (SELECT min(first_key) AS lo, max(last_key) AS hi FROM d) WHERE first_key <= hi AND lo <= last_key) AS n_relative, (SELECT count(*) FROM d a JOIN d b ON a.file_id < b.file_id AND a.first_key <= b.last_key AND b.first_key <= a.last_key) AS n_overlap, true AS trivial")
+@query(f"WITH {ORUNS}, d AS (SELECT * FROM s WHERE file_id = 0), o AS (SELECT * FROM s WHERE file_id >= 2) SELECT *, n_relative = 0 AND n_overlap = 0 AS trivial FROM (SELECT (SELECT count(*) FROM d) AS n_demoted, (SELECT count(*) FROM o, (SELECT min(first_key) AS lo, max(last_key) AS hi FROM d) WHERE first_key <= hi AND lo <= last_key) AS n_relative, (SELECT count(*) FROM d a JOIN d b ON a.file_id < b.file_id AND a.first_key <= b.last_key AND b.first_key <= a.last_key) AS n_overlap)")
 def trivial_move(spark, d):
     s = _order_stats(spark, d)
     return runs.trivial_move(s.where("file_id = 0"), s.where("file_id >= 2"))
