@@ -112,7 +112,8 @@ def token_hashes(texts, lower: bool = True):
 
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    # a fresh array: ascii_lower misreads a slice whose cast keeps offsets from within the batch
+    texts = pc.fill_null(texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string()), "")
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     flat = lists.flatten()
     bounds = np.asarray(lists.offsets).astype(np.int64)

@@ -71,3 +71,15 @@ def test_empty(spark):
     row = op.score(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), model).head()
     assert (row.n_tokens, row.n_known, row.train_tokens, row.base_score, row.score) == (3, 0, 0, 0.0, 0.0)
     assert op.score(none, model).count() == op.score(none, model, 0).count() == 0
+
+
+def test_batches_beyond_the_first_slice(spark, prose):
+    docs = [(i, f"{prose(i, 6).upper()} w{i % 700}") for i in range(2 * op.COUNTED + 50)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    model = op.train(df)
+    c = Counter(w for _, t in docs for w in words(t))
+    assert (model.tokens, model.types) == (sum(c.values()), len(c))
+    for r in op.score(df, model).collect():
+        w = words(docs[r.doc_id][1])
+        assert (r.n_tokens, r.n_known) == (len(w), len(w))
+        assert math.isclose(r.base_score, sum(math.log10((c[x] + 1) / (model.tokens + len(c) + 1)) for x in w), rel_tol=1e-9)
