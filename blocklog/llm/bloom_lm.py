@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, read_table, staged, token_hashes
+from .common import bound_batches, read_table, slices, staged, token_hashes
 
 #: Bytes of filter and word counts that are broadcast; beyond, n-grams go to the segments.
 BROADCAST_FILTER = 192 << 20
@@ -29,8 +29,11 @@ SEGMENT_TEXT = 2 << 20
 BITS, PROBES, RATIO = 10, 7, 1.3
 #: What the end of a text hashes to; no word holds a line break.
 END_WORD = b"\n"
-#: Documents that are counted, and that are scored, at once.
-COUNTED, DOCS = 4000, 1500
+#: Documents, and bytes of them, that are counted, and that are scored, at once.
+COUNTED, COUNTED_BYTES = 4000, 8 << 20
+DOCS, DOCS_BYTES = 1500, 2 << 20
+#: N-grams that probe the filter at once.
+PROBED = 1 << 17
 #: How many times the expected number of successors a history must be seen to trust its bigrams by half.
 CAUTION = 3.0
 
@@ -119,6 +122,14 @@ class Filter:
         import numpy as np
 
         out = np.zeros(len(hashes), np.uint8)
+        for at in range(0, len(hashes), PROBED):
+            self._probe(hashes[at : at + PROBED], segments, limit, out[at : at + PROBED])
+        return out
+
+    def _probe(self, hashes, segments: int, limit: int, out) -> None:
+        """Level by level, set ``out`` of the n-grams still held."""
+        import numpy as np
+
         seg = segment_of(hashes, segments)
         alive = np.flatnonzero((seg >= self.first) & (seg <= self.last))
         seg = seg[alive] - self.first
@@ -134,7 +145,6 @@ class Filter:
                 held = held[(self.bits[base[held] + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 == 1]
             alive, seg = alive[held], seg[held]
             out[alive] = level
-        return out
 
     def exact(self, hashes):
         """Exact training counts of words that belong here, else 0."""
@@ -196,7 +206,7 @@ def train(docs: DataFrame) -> Model:
 
     def counted(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """N-grams of each batch with their counts, packed by segment."""
-        for batch in (b.slice(at, COUNTED) for b in stream for at in range(0, b.num_rows, COUNTED)):
+        for batch in (part for b in stream for part in slices(b, COUNTED, COUNTED_BYTES)):
             hashes, codes, starts = text_codes(batch.column("text"))
             before = np.concatenate([[len(hashes) - 1], codes[:-1]])
             pair, n = np.unique(before * len(hashes) + codes, return_counts=True)
@@ -259,8 +269,8 @@ def load(model: Model) -> Filter:
     return Filter(0, model.segments - 1, bits, offsets, sizes, words[order], counts.astype(np.uint32) if counts.max(initial=0) < 1 << 32 else counts)
 
 
-def score(docs: DataFrame, model: Model, broadcast: int = BROADCAST_FILTER) -> DataFrame:
-    """Add n_tokens, n_known, train_tokens, base_score and score to every row.
+def score(docs: DataFrame, model: Model, broadcast: int = BROADCAST_FILTER, keep: list[str] | None = None) -> DataFrame:
+    """Add n_tokens, n_known, train_tokens, base_score and score to every row, with the columns ``keep`` (all).
 
     ``base_score`` is the add-one estimate from exact counts. ``score`` is the
     model's log10 probability of the text, from filter probes only. Null texts
@@ -274,7 +284,8 @@ def score(docs: DataFrame, model: Model, broadcast: int = BROADCAST_FILTER) -> D
     import pyarrow as pa
 
     made = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    rest = [c for c in docs.columns if c not in made]
+    rest = [c for c in keep or docs.columns if c not in made]
+    docs = docs.select(*dict.fromkeys([*rest, "text"]))
     spark, segments, limit = docs.sparkSession, model.segments, len(thresholds())
     bound_batches(spark)
     totals, rates = (model.tokens, model.types), model.rates()
@@ -299,14 +310,14 @@ def score(docs: DataFrame, model: Model, broadcast: int = BROADCAST_FILTER) -> D
 
         def scored(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = sent.value
-            for batch in (x.slice(at, DOCS) for x in stream for at in range(0, x.num_rows, DOCS)):
+            for batch in (part for x in stream for part in slices(x, DOCS, DOCS_BYTES)):
                 hashes, codes, starts = text_codes(batch.column("text"))
                 before = np.concatenate([[len(hashes) - 1], codes[:-1]])
                 u = own.levels(hashes, segments, limit)[codes]
                 b = own.levels(pair_hash(hashes[before], hashes[codes]), segments, limit)
                 yield summed([batch.column(c) for c in rest], codes, starts, u, b, own.exact(hashes)[codes])
 
-        return docs.select(*rest).mapInArrow(scored, done)
+        return docs.mapInArrow(scored, done)
 
     def grams(texts):
         """Distinct n-grams of a batch in order of segment, and where each token's are."""
@@ -322,7 +333,7 @@ def score(docs: DataFrame, model: Model, broadcast: int = BROADCAST_FILTER) -> D
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 33
-        for batch in (x.slice(at, DOCS) for x in stream for at in range(0, x.num_rows, DOCS)):
+        for batch in (part for x in stream for part in slices(x, DOCS, COUNTED_BYTES)):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, batch.schema) as out:
                 out.write_batch(batch)
@@ -370,7 +381,7 @@ def score(docs: DataFrame, model: Model, broadcast: int = BROADCAST_FILTER) -> D
             out.append(summed([batch.column(c) for c in rest], codes, starts, levels[codes], levels[pairs], exact[codes]))
         return pa.Table.from_batches(out)
 
-    rows = staged(docs.select(*rest).mapInArrow(batched, "batch long, rows binary"), "lm-batches")
+    rows = staged(docs.mapInArrow(batched, "batch long, rows binary"), "lm-batches")
     requests = rows.mapInArrow(asked, "seg long, batch long, h binary")
     answers = requests.groupBy("seg").cogroup(model.table.select("seg", "bits", "words", "counts").groupBy("seg")).applyInArrow(answered, "batch long, seg long, levels binary, exact binary")
     return rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(finished, done)
@@ -381,4 +392,4 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
     docs = docs.withColumn("held_out", held)
     model = train(docs.where("NOT held_out"))
-    return score(docs, model).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return score(docs, model, keep=["doc_id", "held_out"]).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -81,6 +81,23 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
+def slices(batch, rows: int, size: int, column: str = "text"):
+    """Slices of an Arrow batch, in order, of at most ``rows`` rows and about ``size`` bytes of a column.
+
+    A longer text is a slice of its own, whole.
+    """
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        n = int(np.clip(np.searchsorted(ends, before + size, "right") - at, 1, rows))
+        yield batch.slice(at, n)
+        at += n
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -3,7 +3,7 @@ import re
 import pyarrow as pa
 import pytest
 
-from blocklog.llm.common import token_hashes
+from blocklog.llm.common import slices, token_hashes
 
 TEXTS = ["A b", "", "c D  e\t", " f", None, "É x\x1cy z", "g H", "b a b"]
 
@@ -22,3 +22,12 @@ def test_words_of_every_slice(kind, texts, lower):
             words, codes, starts = token_hashes(whole.slice(at, n).column("text"), lower)
             words = words.to_pylist()
             assert [[words[c] for c in codes[a:b]] for a, b in zip(starts, starts[1:])] == [*map(want, texts[at : at + n])]
+
+
+def test_slices_hold_every_row_once():
+    batch = pa.record_batch([pa.array(["x" * n for n in (5, 0, 50, 3, 3, 3, 0)] + [None, "é" * 4]), pa.array(range(9))], ["text", "i"])
+    for rows, size in ((2, 100), (9, 8), (9, 1), (100, 1000)):
+        got = [*slices(batch, rows, size)]
+        assert [i for part in got for i in part.column("i").to_pylist()] == [*range(9)]
+        assert all(part.num_rows <= rows and (part.num_rows == 1 or sum(len((t or "").encode()) for t in part.column("text").to_pylist()) <= size) for part in got)
+    assert [*slices(batch.slice(0, 0), 3, 3)] == []
