@@ -144,3 +144,18 @@ def token_hashes(texts, lower: bool = True):
         before = np.concatenate([[0], np.cumsum(kept)])
         codes, bounds = codes[kept], before[bounds]
     return words, codes, bounds
+
+
+def raw_words(words):
+    """The words of an Arrow string array without nulls, one after the other, as bytes."""
+    import numpy as np
+    import pyarrow as pa
+
+    words = words.cast(pa.large_binary())
+    if not len(words):
+        return
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1].tolist()
+    data = data.to_pybytes() if data else b""
+    for at, end in zip(ends, ends[1:], strict=False):
+        yield data[at:end]

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, read_table, token_hashes
+from .common import bound_batches, raw_words, read_table, token_hashes
 
 #: Rows whose terms are counted, and whose cosines are computed, at once.
 BLOCK = 256
@@ -68,7 +68,7 @@ def term_counts(texts, table):
     rows, distinct, n = len(texts), len(words), np.diff(starts)
     row = np.repeat(np.arange(rows), n)
     signs = SIGNS.encode()
-    bucket = np.fromiter((zlib.crc32(w.strip(signs)) % WORDS for w in words.cast(pa.large_binary()).to_pylist()), np.int64, distinct)
+    bucket = np.fromiter((zlib.crc32(w.strip(signs)) % WORDS for w in raw_words(words)), np.int64, distinct)
     out = np.zeros((rows, TERMS), np.float32)
     out[:, :WORDS] = np.bincount(row * WORDS + bucket[codes], minlength=rows * WORDS).reshape(rows, WORDS)
     used = np.unique(row * distinct + codes) // max(distinct, 1)
@@ -187,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000, dims: int = 32,
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     rows = rows.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("text").alias("text"))
-    found = _features(rows).orderBy("doc_id").toArrow()
+    found = _features(rows).toArrow().sort_by("doc_id")  # a sort in Spark would read the terms twice
     counts = np.zeros((found.num_rows, TERMS), np.float32)
     for i, (terms, weights) in enumerate(zip(found["terms"], found["weights"], strict=True)):
         counts[i, np.frombuffer(terms.as_py(), np.uint16)] = np.frombuffer(weights.as_py(), np.float32)
