@@ -2,8 +2,9 @@
 
 Vectors are dealt to inverted lists by nearest centroid and rotated by a random
 orthogonal matrix, so that a partial distance over some dimensions estimates
-the whole one. Inside a probed list distances grow column block by column
-block; after each block a hypothesis test abandons the candidates whose whole
+the whole one. The lists store the rotated vectors in column blocks, beside the
+originals. Inside a probed list distances grow column block by column block;
+after each block a hypothesis test abandons the candidates whose whole
 distance would exceed the bound with high confidence (ADSampling: Gao and Long,
 SIGMOD 2023). Survivors are measured exactly on the original vectors.
 """
@@ -20,6 +21,8 @@ from .common import read_table, staged
 
 #: Rows of a list, and queries probing it, that meet in one task's group.
 ROWS, QUERIES = 2048, 256
+#: Dimensions of a stored column block, pairs whose exact distances are computed at once.
+STEP, PAIRS = 16, 1 << 16
 #: What is fitted on: at most so many vectors, lists, and queries for tuning.
 SAMPLE, LISTS, TUNE = 20_000, 1024, 200
 #: Bytes of the fitted sample, whatever the vectors' size; it is sent to every worker.
@@ -85,20 +88,33 @@ def fit(rows: DataFrame, seed: int = 7, rounds: int = 8) -> Space:
     return space
 
 
-def assign(rows: DataFrame, space: Space) -> DataFrame:
-    """Every row with the list of its nearest centroid: (vec_id, v, list)."""
+def cut(vectors, step: int) -> list:
+    """The columns of a matrix in blocks of ``step``, each lying together."""
+    import numpy as np
+
+    return [np.ascontiguousarray(vectors[:, at : at + step]) for at in range(0, vectors.shape[1], step)]
+
+
+def assign(rows: DataFrame, space: Space, step: int = STEP) -> DataFrame:
+    """Every row with the list of its nearest centroid, and rotated: (vec_id, v, list, r0, r1, ...).
+
+    Each r column is a block of ``step`` dimensions of the rotated vector.
+    """
     import pyarrow as pa
 
     sent = rows.sparkSession.sparkContext.broadcast(space)
+    names = [f"r{n}" for n in range(-(-space.rotation.shape[1] // step))]
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                near = sent.value.squares(matrix(part.column("v"))).argmin(1)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(near.astype("int32"))], names=["vec_id", "v", "list"])
+                v = matrix(part.column("v"))
+                blocks = [pa.ListArray.from_arrays(pa.array(range(0, b.size + 1, b.shape[1]), pa.int32()), pa.array(b.ravel())) for b in cut(v @ sent.value.rotation, step)]
+                near = sent.value.squares(v).argmin(1)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(near.astype("int32")), *blocks], names=["vec_id", "v", "list", *names])
 
-    return rows.mapInArrow(batches, "vec_id long, v array<double>, list int")
+    return rows.mapInArrow(batches, ", ".join(["vec_id long", "v array<double>", "list int", *(f"{n} array<double>" for n in names)]))
 
 
 def tune(index: DataFrame, space: Space, recall: float, k: int) -> int:
@@ -129,7 +145,7 @@ def tune(index: DataFrame, space: Space, recall: float, k: int) -> int:
                     [pa.array(np.repeat(np.arange(len(q)), n)), pa.array(np.take_along_axis(far, best, 1).ravel()), pa.array(np.asarray(part.column("list"))[best].ravel())], names=["q", "far", "list"]
                 )
 
-    found = index.mapInArrow(batches, "q long, far double, list int").where("far < double('infinity')")
+    found = index.select("vec_id", "v", "list").mapInArrow(batches, "q long, far double, list int").where("far < double('infinity')")
     best = Window.partitionBy("q").orderBy("far", "list")
     found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select("q", "list").collect()
     order = space.squares(queries).argsort(1).argsort(1)
@@ -143,14 +159,14 @@ def scan(queries, bounds, rows, rotated, own, ids, k: int, step: int, doubt: flo
     """The k nearest rows of each query inside one group: (query index, row index, distance).
 
     ``bounds`` are squared distances that a result has at most; ``rotated`` has
-    queries and rows after rotation. Rows with a query's own id are no candidates.
+    queries and rows after rotation, as matrices or lists of their column blocks
+    of ``step`` dimensions. Rows with a query's own id are no candidates.
     """
     import numpy as np
 
-    q_rot, r_rot = rotated
-    dims = q_rot.shape[1]
-    seen = min(step, dims)
-    a, b = q_rot[:, :seen], r_rot[:, :seen]
+    q_blocks, r_blocks = (m if isinstance(m, list) else cut(m, step) for m in rotated)
+    dims, seen = sum(b.shape[1] for b in r_blocks), r_blocks[0].shape[1]
+    a, b = q_blocks[0], r_blocks[0]
     part = (a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * a @ b.T
 
     def limit(n: int):
@@ -158,12 +174,14 @@ def scan(queries, bounds, rows, rotated, own, ids, k: int, step: int, doubt: flo
 
     i, j = np.nonzero((part <= bounds[:, None] * limit(seen) + 1e-9) & (own[:, None] != ids[None]))
     far = part[i, j]
-    while seen < dims:
-        upto = min(seen + step, dims)
-        far = far + ((q_rot[i, seen:upto] - r_rot[j, seen:upto]) ** 2).sum(1)
-        alive = far <= bounds[i] * limit(upto) + 1e-9
-        i, j, far, seen = i[alive], j[alive], far[alive], upto
-    exact = np.sqrt(((queries[i] - rows[j]) ** 2).sum(1))
+    for a, b in zip(q_blocks[1:], r_blocks[1:], strict=True):
+        seen += b.shape[1]
+        far = far + ((a[i] - b[j]) ** 2).sum(1)
+        alive = far <= bounds[i] * limit(seen) + 1e-9
+        i, j, far = i[alive], j[alive], far[alive]
+    exact = np.empty(len(i))
+    for at in range(0, len(i), PAIRS):
+        exact[at : at + PAIRS] = np.sqrt(((queries[i[at : at + PAIRS]] - rows[j[at : at + PAIRS]]) ** 2).sum(1))
     order = np.lexsort((ids[j], exact, i))
     i, j, exact = i[order], j[order], exact[order]
     starts = np.searchsorted(i, i)
@@ -171,7 +189,7 @@ def scan(queries, bounds, rows, rotated, own, ids, k: int, step: int, doubt: flo
     return i[top], j[top], exact[top]
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float = 0.97, step: int = 16, doubt: float = 2.1) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float = 0.97, step: int = STEP, doubt: float = 2.1) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for each query.
 
     ``vectors`` and ``queries`` have vec_id and embedding; queries are rows of
@@ -193,7 +211,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float =
     spark = vectors.sparkSession
     rows = staged(usable(vectors), "vectors")
     space = fit(rows)
-    index = staged(assign(rows, space), "lists")
+    index = staged(assign(rows, space, step), "lists")
+    turned = [c for c in index.columns if c not in ("vec_id", "v", "list")]
     space.probes = tune(index, space, recall, k)
     space.sizes = np.zeros(len(space.centroids), np.int64)
     for r in index.groupBy("list").count().collect():  # one row for each list, LISTS at most
@@ -235,11 +254,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float =
         out = []
         if left.num_rows and right.num_rows:
             v, ids = matrix(left["v"].combine_chunks()), np.asarray(left["vec_id"].combine_chunks())
-            v_rot = v @ known.rotation
+            r_blocks = [matrix(left[c].combine_chunks()) for c in turned]
             for at in range(0, right.num_rows, QUERIES):
                 some = right.slice(at, QUERIES)
                 q, own = matrix(some["q"].combine_chunks()), np.asarray(some["query_id"].combine_chunks())
-                i, j, exact = scan(q, np.asarray(some["bound"].combine_chunks()), v, (q @ known.rotation, v_rot), own, ids, k, step, doubt)
+                i, j, exact = scan(q, np.asarray(some["bound"].combine_chunks()), v, (cut(q @ known.rotation, step), r_blocks), own, ids, k, step, doubt)
                 out.append(pa.table([pa.array(own[i]), pa.array(ids[j]), pa.array(exact)], names=names))
         return pa.concat_tables(out) if out else pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
 
@@ -251,7 +270,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float =
     chunks = asked.groupBy("list").agg(F.ceil(F.count("*") / F.lit(4 * QUERIES)).cast("int").alias("chunks"))
     plan = sizes.join(chunks, "list")  # one row for each list, LISTS at most
     left = index.join(F.broadcast(plan), "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks"))
-    left = left.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("list", "block", F.col("chunk").cast("long").alias("chunk"), "vec_id", "v")
+    left = left.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("list", "block", F.col("chunk").cast("long").alias("chunk"), "vec_id", "v", *turned)
     right = asked.join(F.broadcast(plan), "list").withColumn("chunk", F.pmod(F.xxhash64("query_id"), "chunks"))
     right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("list", F.col("block").cast("long").alias("block"), "chunk", "query_id", "q", "bound")
     key = ["list", "block", "chunk"]
