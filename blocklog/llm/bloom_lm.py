@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, read_table, slices, staged, token_hashes
+from .common import bound_batches, raw_words, read_table, slices, staged, token_hashes
 
 #: Bytes of filter and word counts that are broadcast; beyond, n-grams go to the segments.
 BROADCAST_FILTER = 192 << 20
@@ -83,16 +83,23 @@ def places(hashes, level: int, bits):
 def text_codes(texts):
     """(hash of each distinct word, tokens as indices into it, first token of each text); each text has its end."""
     import numpy as np
-    import pyarrow as pa
     import xxhash
 
     words, codes, starts = token_hashes(texts)
     hashed = xxhash.xxh64_intdigest
-    hashes = np.array([hashed(w, 7) for w in [*words.cast(pa.large_binary()).to_pylist(), END_WORD]], np.uint64)
+    hashes = np.array([*(hashed(w, 7) for w in raw_words(words)), hashed(END_WORD, 7)], np.uint64)
     codes = np.insert(codes, starts[1:], len(hashes) - 1)
     return hashes, codes, starts + np.arange(len(starts))
 
 
+def distinct_of(values):
+    """(distinct values in order of appearance, each value's index into them), by hashing."""
+    import pyarrow as pa
+
+    coded = pa.array(values).dictionary_encode()
+    return coded.dictionary.to_numpy(), coded.indices.to_numpy()
+
+
 def segment_of(hashes, segments: int):
     import numpy as np
 
@@ -209,8 +216,8 @@ def train(docs: DataFrame) -> Model:
         for batch in (part for b in stream for part in slices(b, COUNTED, COUNTED_BYTES)):
             hashes, codes, starts = text_codes(batch.column("text"))
             before = np.concatenate([[len(hashes) - 1], codes[:-1]])
-            pair, n = np.unique(before * len(hashes) + codes, return_counts=True)
-            grams = [(hashes, np.bincount(codes, minlength=len(hashes))), (pair_hash(hashes[pair // len(hashes)], hashes[pair % len(hashes)]), n)]
+            pair, back = distinct_of(before * len(hashes) + codes)
+            grams = [(hashes, np.bincount(codes, minlength=len(hashes))), (pair_hash(hashes[pair // len(hashes)], hashes[pair % len(hashes)]), np.bincount(back, minlength=len(pair)))]
             rows = []
             for kind, (h, n) in enumerate(grams):
                 h, n = h[n > 0], n[n > 0]
@@ -314,7 +321,8 @@ def score(docs: DataFrame, model: Model, broadcast: int = BROADCAST_FILTER, keep
                 hashes, codes, starts = text_codes(batch.column("text"))
                 before = np.concatenate([[len(hashes) - 1], codes[:-1]])
                 u = own.levels(hashes, segments, limit)[codes]
-                b = own.levels(pair_hash(hashes[before], hashes[codes]), segments, limit)
+                pair, back = distinct_of(before * len(hashes) + codes)
+                b = own.levels(pair_hash(hashes[pair // len(hashes)], hashes[pair % len(hashes)]), segments, limit)[back]
                 yield summed([batch.column(c) for c in rest], codes, starts, u, b, own.exact(hashes)[codes])
 
         return docs.mapInArrow(scored, done)
@@ -323,7 +331,7 @@ def score(docs: DataFrame, model: Model, broadcast: int = BROADCAST_FILTER, keep
         """Distinct n-grams of a batch in order of segment, and where each token's are."""
         hashes, codes, starts = text_codes(texts)
         before = np.concatenate([[len(hashes) - 1], codes[:-1]])
-        pair, back = np.unique(before * len(hashes) + codes, return_inverse=True)
+        pair, back = distinct_of(before * len(hashes) + codes)
         every = np.concatenate([hashes, pair_hash(hashes[pair // len(hashes)], hashes[pair % len(hashes)])])
         order = np.argsort(segment_of(every, segments), kind="stable")
         return every[order], order, codes, starts, len(hashes) + back
