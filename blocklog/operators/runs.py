@@ -39,19 +39,20 @@ def leaf_index(rows: DataFrame, key: str, size: int = LEAF_RECORDS) -> DataFrame
     return chunks(rows.select(key), key, size, "leaf").groupBy("leaf").agg(F.max(key).alias("max_key"), F.count("*").alias("nr_record"))
 
 
-def inner_nodes(index: DataFrame, leaves: int, fanout: int = NODE_FANOUT) -> DataFrame:
+def inner_nodes(index: DataFrame, leaves: int, fanout: int = NODE_FANOUT, levels: int | None = None) -> DataFrame:
     """(level, node, max_key, children) of the nodes above ``leaves`` leaves, level 1 first.
 
     A node's key is the greatest below it. Levels follow from leaf numbers, so
-    all are made in one aggregation.
+    all are made in one aggregation: up to the one root, which stands above a
+    single leaf too, or no more than ``levels``.
     """
-    depth, width = 0, leaves
-    while width > 1:
+    depth, width = 1, -(-leaves // fanout)
+    while width > 1 and depth != levels:
         depth, width = depth + 1, -(-width // fanout)
-    step = F.explode(F.sequence(F.lit(1), F.lit(max(depth, 1))))
+    step = F.explode(F.sequence(F.lit(1), F.lit(depth)))
     rows = index.withColumn("level", step).withColumn("node", F.floor(F.col("leaf") / F.pow(F.lit(fanout), "level")).cast("long"))
     below = F.floor(F.col("leaf") / F.pow(F.lit(fanout), F.col("level") - 1))
-    return rows.where(F.col("level") <= depth).groupBy("level", "node").agg(F.max("max_key").alias("max_key"), F.count_distinct(below).alias("children"))
+    return rows.groupBy("level", "node").agg(F.max("max_key").alias("max_key"), F.count_distinct(below).alias("children"))
 
 
 def leaf_links(index: DataFrame) -> DataFrame:

@@ -156,3 +156,17 @@ def test_empty_log(spark):
     empty = spark.createDataFrame([], W)
     assert log.latest(empty).count() == log.place(empty, 8).count() == 0
     assert lookup.read_runs(empty.select("lba", F.col("wseq").alias("hba"))).count() == 0
+
+
+@pytest.mark.parametrize("leaves", [1, 2, 3, 9, 10])
+def test_inner_nodes_reach_one_root(spark, leaves):
+    index = spark.createDataFrame([(i, 10 * i) for i in range(leaves)], "leaf long, max_key long")
+    want, below, level = [], [(i, 10 * i) for i in range(leaves)], 0
+    while level == 0 or len(below) > 1:
+        level, groups = level + 1, [below[i : i + 3] for i in range(0, len(below), 3)]
+        want += [(level, n, g[-1][1], len(g)) for n, g in enumerate(groups)]
+        below = [(n, g[-1][1]) for n, g in enumerate(groups)]
+    got = runs.inner_nodes(index, leaves, fanout=3).select("level", "node", "max_key", "children").collect()
+    assert sorted(map(tuple, got)) == want
+    lower = runs.inner_nodes(index, leaves, fanout=3, levels=1).collect()
+    assert sorted(r.node for r in lower) == [w[1] for w in want if w[0] == 1]
