@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..schema import BLOCKS_PER_SEGMENT
 from ..sources.store import Store
@@ -36,26 +35,40 @@ def ingest(stream: DataFrame, store: Store, checkpoint: str, compact_at: int = 4
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def put_returning_old(stream: DataFrame) -> DataFrame:
-    """Stateful put: (lba, wseq, hba, old_hba) for each write, old_hba the address it supersedes.
+def put_returning_old(stream: DataFrame, out: str, checkpoint: str, trigger: dict | None = None):
+    """Stateful put: starts a query that writes (lba, wseq, hba, old_hba) for each write (lba, wseq, hba).
 
-    The state of a key is one address. Writes of a key are ordered inside a
-    micro-batch; a write older than the state's is superseded at once.
+    ``old_hba`` is the address that a write supersedes, null for a key's first.
+    The state of a key is its newest write. Writes of a key are ordered inside a
+    micro-batch; a write no newer than the state is superseded at once. A null
+    key is a key.
+
+    Batch n is the folder ``out``/n, whole once it has its _SUCCESS file. The state
+    that it starts from is the folder newest/n of the checkpoint, which stays
+    until the next batch is done, so a batch delivered again writes the same
+    rows again. State and writes of a batch meet by a shuffle on the key; each
+    batch writes the state of all keys anew.
     """
-    import pandas as pd
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seq, at = state.get if state.exists else (-1, None)
-        rows = pd.concat(list(batches)).sort_values("wseq")
-        out = []
-        for r in rows.itertuples():
-            out.append((key[0], r.wseq, r.hba, at if r.wseq > seq else r.hba))
-            if r.wseq > seq:
-                seq, at = int(r.wseq), int(r.hba)
-        state.update((seq, at))
-        yield pd.DataFrame(out, columns=["lba", "wseq", "hba", "old_hba"]).astype({"old_hba": "Int64"})
-
-    return stream.groupBy("lba").applyInPandasWithState(step, "lba long, wseq long, hba long, old_hba long", "seq long, at long", "append", GroupStateTimeout.NoTimeout)
+    states = f"{checkpoint}/newest"
+    # of writes of one number the state's is the newest, then the one at the greatest address
+    newest = F.max(F.struct("wseq", ~F.col("live"), "hba"))
+    before = Window.partitionBy("lba").orderBy("live", "wseq", F.desc("hba")).rowsBetween(Window.unboundedPreceding, -1)
+    old = F.when(F.col("prev").isNull(), F.lit(None)).when(F.col("wseq") > F.col("prev.wseq"), F.col("prev.hba")).otherwise(F.col("hba"))
+
+    def put(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select("lba", F.col("wseq").cast("long").alias("wseq"), F.col("hba").cast("long").alias("hba"))
+        both = rows.withColumn("live", F.lit(True))
+        if number:
+            both = both.unionByName(spark.read.schema(rows.schema).parquet(f"{states}/{number}").withColumn("live", F.lit(False)))
+        done = both.withColumn("prev", newest.over(before)).where("live").select("lba", "wseq", "hba", old.alias("old_hba"))
+        done.write.mode("overwrite").parquet(f"{out}/{number}")
+        state = both.groupBy("lba").agg(newest.alias("r")).select("lba", "r.wseq", "r.hba")
+        state.write.mode("overwrite").parquet(f"{states}/{number + 1}")
+        past = spark._jvm.org.apache.hadoop.fs.Path(f"{states}/{number - 1}")
+        past.getFileSystem(spark._jsc.hadoopConfiguration()).delete(past, True)
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def seal_segments(log: DataFrame, stream: str = "stream", capacity: int = BLOCKS_PER_SEGMENT) -> DataFrame:
