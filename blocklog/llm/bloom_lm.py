@@ -8,7 +8,8 @@ Probabilities interpolate bigrams and words.
 The filter is cut into segments by hash, built in tasks of their own. A filter
 of at most BROADCAST_FILTER bytes is broadcast to the workers. A larger one
 stays where it is: each batch of documents sends its distinct n-grams to the
-segments they belong to, and gets their levels back.
+ranges of segments they belong to, and gets their levels back. A range's
+n-grams pass its segments in bounded batches, however many there are.
 """
 
 from __future__ import annotations
@@ -22,16 +23,23 @@ from pyspark.sql import functions as F
 from .common import bound_batches, raw_words, read_table, slices, staged, token_hashes
 
 #: Bytes of filter and word counts that are broadcast; beyond, n-grams go to the segments.
-BROADCAST_FILTER = 192 << 20
+BROADCAST_FILTER = 32 << 20
 #: Bytes of text per segment.
 SEGMENT_TEXT = 2 << 20
+#: Ranges of segments that n-grams are sent to; more only where a range would hold over RANGE_SEGMENTS of them.
+RANGES, RANGE_SEGMENTS = 512, 64
 #: Filter bits per entry, probes per entry, ratio of count levels.
 BITS, PROBES, RATIO = 10, 7, 1.3
 #: What the end of a text hashes to; no word holds a line break.
 END_WORD = b"\n"
 #: Documents, and bytes of them, that are counted, and that are scored, at once.
-COUNTED, COUNTED_BYTES = 4000, 8 << 20
+COUNTED, COUNTED_BYTES = 4000, 6 << 20
 DOCS, DOCS_BYTES = 1500, 2 << 20
+#: Row groups of packed rows: written and read a few at a time, whatever their size.
+ROW_GROUPS = {"parquet.block.size": 8 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1, "parquet.enable.dictionary": "false"}
+#: Bytes of an Arrow batch between the executor and its workers. Buffers over 4 MB
+#: bypass Netty's pool, and the JVM's allocator keeps much of what they leave.
+SENT_BYTES = 2 << 20
 #: N-grams that probe the filter at once.
 PROBED = 1 << 17
 #: How many times the expected number of successors a history must be seen to trust its bigrams by half.
@@ -106,6 +114,106 @@ def segment_of(hashes, segments: int):
     return ((hashes >> np.uint64(32)) % np.uint64(segments)).astype(np.int64)
 
 
+def dealt(hashes, segments: int, ranges: int):
+    """Order of the n-grams by range of segments, and first of each range and one more."""
+    import numpy as np
+
+    place = (segment_of(hashes, segments) * ranges // segments).astype(np.uint16 if ranges <= 1 << 16 else np.int64)
+    return np.argsort(place, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(place, minlength=ranges))])
+
+
+def first_of(place, segments: int, ranges: int):
+    """A range's first segment."""
+    return -(-place * segments // ranges)
+
+
+def sent_bytes(segments: int, ranges: int) -> int:
+    """Bytes of an n-gram's hash that its range leaves open."""
+    most = ((1 << 32) // segments + 1) * -(-segments // ranges) - 1
+    return min(8, 4 + (most.bit_length() + 7) // 8)
+
+
+def shortened(hashes, segments: int, ranges: int):
+    """Hashes as records of sent_bytes: the lower half, and what their range leaves open of the upper."""
+    import numpy as np
+
+    size = sent_bytes(segments, ranges)
+    if size < 8:
+        seg, top = segment_of(hashes, segments), hashes >> np.uint64(32)
+        own = (seg - first_of(seg * ranges // segments, segments, ranges)).astype(np.uint64)
+        hashes = (top // np.uint64(segments) * np.uint64(-(-segments // ranges)) + own) << np.uint64(32) | hashes & np.uint64((1 << 32) - 1)
+    return np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :size]).view(f"V{size}").ravel()
+
+
+def restored(records, place: int, segments: int, ranges: int):
+    """The hashes that shortened() made of n-grams of a range."""
+    import numpy as np
+
+    size, width = records.itemsize, np.uint64(-(-segments // ranges))
+    out = np.zeros((len(records), 8), np.uint8)
+    out[:, :size] = np.ascontiguousarray(records).view(np.uint8).reshape(-1, size)
+    out = out.view(np.uint64).ravel()
+    if size == 8:
+        return out
+    left = out >> np.uint64(32)
+    top = left // width * np.uint64(segments) + left % width + np.uint64(first_of(place, segments, ranges))
+    return top << np.uint64(32) | out & np.uint64((1 << 32) - 1)
+
+
+def gathered(stream: Iterator, rows: int, size: int) -> Iterator:
+    """The Arrow batches of texts of a stream, put together or cut to at most ``rows`` rows and about ``size`` bytes."""
+    import pyarrow as pa
+
+    held, n, total = [], 0, 0
+    for batch in stream:
+        for part in slices(batch, rows, size):
+            if held and (n + part.num_rows > rows or total + part.nbytes > size):
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, n, total = [], 0, 0
+            held.append(part)
+            n, total = n + part.num_rows, total + part.nbytes
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def thin(batch) -> Iterator:
+    """Slices of an Arrow batch of about SENT_BYTES."""
+    step = -(-batch.num_rows // max(1, -(-batch.nbytes // SENT_BYTES)))
+    for at in range(0, batch.num_rows, max(1, step)):
+        yield batch.slice(at, step)
+
+
+def free() -> None:
+    """Give back what Arrow keeps of the last batch."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+
+
+def flat(column, kind):
+    """(values of a binary Arrow array one after the other, first value of each row and one more); nulls are empty."""
+    import numpy as np
+    import pyarrow as pa
+
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(x.cast(pa.large_binary()) for x in column.chunks) if column.num_chunks else pa.array([], pa.large_binary())
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    size = np.dtype(kind).itemsize
+    values = np.frombuffer(data, kind, (ends[-1] - ends[0]) // size, ends[0]) if data and ends[-1] > ends[0] else np.zeros(0, kind)
+    return values, (ends - ends[0]) // size
+
+
+def cut(values, ends):
+    """A binary Arrow array of the values from each end to the next."""
+    import numpy as np
+    import pyarrow as pa
+
+    offsets = (np.asarray(ends) * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values).view(np.uint8))])
+
+
 @dataclass
 class Filter:
     """Filter bits of segments first to last, and exact word counts sorted by hash."""
@@ -119,10 +227,18 @@ class Filter:
     counts: object
 
     @classmethod
-    def of_one(cls, seg: int, bits: bytes, words: bytes, counts: bytes) -> Filter:
+    def of_range(cls, first: int, last: int, rows: list[tuple[int, bytes, bytes, bytes]]) -> Filter:
+        """The filter of segments first to last from their (number, bits, words, counts)."""
         import numpy as np
 
-        return cls(seg, seg, np.frombuffer(bits, np.uint8), np.zeros(1, np.int64), np.array([8 * len(bits)]), np.frombuffer(words, np.uint64), np.frombuffer(counts, np.int64))
+        offsets, sizes = np.zeros(last - first + 1, np.int64), np.zeros(last - first + 1, np.int64)
+        at = 0
+        for seg, bits, *_ in rows:
+            offsets[seg - first], sizes[seg - first] = at, 8 * len(bits)
+            at += len(bits)
+        bits, words, counts = (np.frombuffer(b"".join(r[i] for r in rows), t) for i, t in ((1, np.uint8), (2, np.uint64), (3, np.int64)))
+        order = np.argsort(words)
+        return cls(first, last, bits, offsets, sizes, words[order], counts[order])
 
     def levels(self, hashes, segments: int, limit: int):
         """Quantised count level of each n-gram that belongs here, else 0."""
@@ -207,33 +323,37 @@ def train(docs: DataFrame) -> Model:
     import numpy as np
     import pyarrow as pa
 
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, SENT_BYTES)
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).head().n or 0
     segments = max(8, size // SEGMENT_TEXT)
 
+    def tallied(texts) -> pa.RecordBatch:
+        """The n-grams of texts with their counts, packed by segment."""
+        hashes, codes, starts = text_codes(texts)
+        before = np.concatenate([[len(hashes) - 1], codes[:-1]])
+        pair, back = distinct_of(before * len(hashes) + codes)
+        grams = [(hashes, np.bincount(codes, minlength=len(hashes))), (pair_hash(hashes[pair // len(hashes)], hashes[pair % len(hashes)]), np.bincount(back, minlength=len(pair)))]
+        del codes, before, pair, back
+        parts = []
+        for kind, (h, n) in enumerate(grams):
+            h, n = h[n > 0], n[n > 0].astype(np.uint32)
+            order, ends = dealt(h, segments, segments)
+            some = np.flatnonzero(np.diff(ends))
+            ends = [*ends[some], len(h)]
+            parts.append((pa.array(some), pa.array(np.full(len(some), kind, np.int32)), cut(h[order], ends), cut(n[order], ends)))
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(*parts, strict=True)], names=["seg", "kind", "h", "n"])
+
     def counted(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """N-grams of each batch with their counts, packed by segment."""
-        for batch in (part for b in stream for part in slices(b, COUNTED, COUNTED_BYTES)):
-            hashes, codes, starts = text_codes(batch.column("text"))
-            before = np.concatenate([[len(hashes) - 1], codes[:-1]])
-            pair, back = distinct_of(before * len(hashes) + codes)
-            grams = [(hashes, np.bincount(codes, minlength=len(hashes))), (pair_hash(hashes[pair // len(hashes)], hashes[pair % len(hashes)]), np.bincount(back, minlength=len(pair)))]
-            rows = []
-            for kind, (h, n) in enumerate(grams):
-                h, n = h[n > 0], n[n > 0]
-                seg = segment_of(h, segments)
-                order = np.argsort(seg, kind="stable")
-                h, n, seg = h[order], n[order], seg[order]
-                cuts = np.flatnonzero(np.diff(seg)) + 1
-                rows += [(int(s[0]), kind, a.tobytes(), b.astype(np.uint32).tobytes()) for s, a, b in zip(np.split(seg, cuts), np.split(h, cuts), np.split(n, cuts), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["seg", "kind", "h", "n"])
+        for batch in gathered(stream, COUNTED, COUNTED_BYTES):
+            yield from thin(tallied(batch.column("text")))
+            free()
 
     def built(table: pa.Table) -> pa.Table:
         levels, sums = thresholds(), []
-        kinds = table["kind"].to_pylist()
+        kinds = table["kind"].to_numpy()
         for kind in (0, 1):
-            h = np.frombuffer(b"".join(x for x, k in zip(table["h"].to_pylist(), kinds, strict=True) if k == kind), np.uint64)
-            n = np.frombuffer(b"".join(x for x, k in zip(table["n"].to_pylist(), kinds, strict=True) if k == kind), np.uint32)
+            rows = table.filter(pa.array(kinds == kind))
+            h, n = flat(rows["h"], np.uint64)[0], flat(rows["n"], np.uint32)[0]
             own, back = np.unique(h, return_inverse=True)
             sums.append((own, np.bincount(back, weights=n, minlength=len(own)).astype(np.int64)))
         h = np.concatenate([sums[0][0], sums[1][0]])
@@ -248,7 +368,7 @@ def train(docs: DataFrame) -> Model:
         return pa.table([pa.array([x], t) for x, t in zip(data, (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)], names=["seg", "bits", "words", "counts", "freqs", "numbers"])
 
     packed = docs.select("text").mapInArrow(counted, "seg long, kind int, h binary, n binary")
-    table = staged(packed.groupBy("seg").applyInArrow(built, "seg long, bits binary, words binary, counts binary, freqs array<long>, numbers array<long>"), "lm-segments")
+    table = staged(packed.groupBy("seg").applyInArrow(built, "seg long, bits binary, words binary, counts binary, freqs array<long>, numbers array<long>"), "lm-segments", release=True)
     spectrum = table.select(F.explode(F.arrays_zip("freqs", "numbers")).alias("x")).groupBy(F.col("x.freqs").alias("f")).agg(F.sum("x.numbers").alias("n"))
     seen = spectrum.groupBy(F.floor(F.log2("f") * 8).alias("step")).agg(F.sum(F.col("f") * F.col("n")).alias("tokens"), F.sum("n").alias("n"), F.sum(F.when(F.col("f") == 1, F.col("n")).otherwise(0)).alias("once")).collect()
     size = table.agg(F.sum(F.octet_length("bits")).alias("bits"), F.sum(F.octet_length("words")).alias("words")).head()
@@ -294,7 +414,7 @@ def score(docs: DataFrame, model: Model, broadcast: int = BROADCAST_FILTER, keep
     rest = [c for c in keep or docs.columns if c not in made]
     docs = docs.select(*dict.fromkeys([*rest, "text"]))
     spark, segments, limit = docs.sparkSession, model.segments, len(thresholds())
-    bound_batches(spark)
+    bound_batches(spark, SENT_BYTES)
     totals, rates = (model.tokens, model.types), model.rates()
     zero = F.lit(0).cast("long")
     done = docs.select(*rest).withColumns({"n_tokens": zero, "n_known": zero, "train_tokens": zero, "base_score": F.lit(0.0), "score": F.lit(0.0)}).schema
@@ -312,38 +432,39 @@ def score(docs: DataFrame, model: Model, broadcast: int = BROADCAST_FILTER, keep
         columns = [*columns, pa.array(lengths), pa.array(known), pa.array(np.full(len(lengths), totals[0], np.int64)), pa.array(base), pa.array(np.minimum(found, 0.0))]
         return pa.RecordBatch.from_arrays(columns, names=done.names)
 
+    def grams(texts):
+        """Hashes of a batch's distinct words and of its distinct pairs, each token as an index into the words, its pair's, and each text's first token."""
+        hashes, codes, starts = text_codes(texts)
+        before = np.concatenate([[len(hashes) - 1], codes[:-1]])
+        pair, back = distinct_of(before * len(hashes) + codes)
+        return hashes, pair_hash(hashes[pair // len(hashes)], hashes[pair % len(hashes)]), codes, back, starts
+
     if model.size[0] + 16 * model.size[1] <= broadcast:
         sent = spark.sparkContext.broadcast(load(model))
 
-        def scored(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row_scores(batch: pa.RecordBatch) -> pa.RecordBatch:
             own = sent.value
-            for batch in (part for x in stream for part in slices(x, DOCS, DOCS_BYTES)):
-                hashes, codes, starts = text_codes(batch.column("text"))
-                before = np.concatenate([[len(hashes) - 1], codes[:-1]])
-                u = own.levels(hashes, segments, limit)[codes]
-                pair, back = distinct_of(before * len(hashes) + codes)
-                b = own.levels(pair_hash(hashes[pair // len(hashes)], hashes[pair % len(hashes)]), segments, limit)[back]
-                yield summed([batch.column(c) for c in rest], codes, starts, u, b, own.exact(hashes)[codes])
+            words, pairs, codes, back, starts = grams(batch.column("text"))
+            return summed([batch.column(c) for c in rest], codes, starts, own.levels(words, segments, limit)[codes], own.levels(pairs, segments, limit)[back], own.exact(words)[codes])
+
+        def scored(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in gathered(stream, DOCS, DOCS_BYTES):
+                yield row_scores(batch)
+                free()
 
         return docs.mapInArrow(scored, done)
 
-    def grams(texts):
-        """Distinct n-grams of a batch in order of segment, and where each token's are."""
-        hashes, codes, starts = text_codes(texts)
-        before = np.concatenate([[len(hashes) - 1], codes[:-1]])
-        pair, back = distinct_of(before * len(hashes) + codes)
-        every = np.concatenate([hashes, pair_hash(hashes[pair // len(hashes)], hashes[pair % len(hashes)])])
-        order = np.argsort(segment_of(every, segments), kind="stable")
-        return every[order], order, codes, starts, len(hashes) + back
+    ranges = min(segments, max(RANGES, -(-segments // RANGE_SEGMENTS)))
+    record = f"V{sent_bytes(segments, ranges)}"
 
     # texts in packed batches, each a row with a number of its own
     def batched(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 33
-        for batch in (part for x in stream for part in slices(x, DOCS, COUNTED_BYTES)):
+        for batch in gathered(stream, DOCS, COUNTED_BYTES):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, batch.schema) as out:
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_batch(batch)
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["batch", "rows"])
             number += 1
@@ -351,47 +472,65 @@ def score(docs: DataFrame, model: Model, broadcast: int = BROADCAST_FILTER, keep
     def opened(data: bytes) -> pa.RecordBatch:
         return pa.ipc.open_stream(data).read_next_batch()
 
+    def request(number: int, texts) -> pa.RecordBatch:
+        words, pairs = grams(texts)[:2]
+        (w, w_ends), (p, p_ends) = dealt(words, segments, ranges), dealt(pairs, segments, ranges)
+        some = np.flatnonzero(np.diff(w_ends) + np.diff(p_ends))
+        n = len(some)
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.ones(n, np.int32)), pa.array(np.full(n, number)), cut(shortened(pairs[p], segments, ranges), [*p_ends[some], len(p)]), cut(shortened(words[w], segments, ranges), [*w_ends[some], len(w)]), pa.nulls(n, pa.binary())], names=["place", "kind", "number", "data", "words", "counts"])
+
     def asked(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in stream:
             for number, data in zip(x.column("batch").to_pylist(), x.column("rows"), strict=True):
-                every = grams(opened(data.as_py()).column("text"))[0]
-                seg = segment_of(every, segments)
-                cuts = np.flatnonzero(np.diff(seg)) + 1
-                pieces = np.split(every, cuts)
-                firsts = seg[np.concatenate([[0], cuts])]
-                yield pa.RecordBatch.from_arrays([pa.array(firsts), pa.array(np.full(len(pieces), number)), pa.array([p.tobytes() for p in pieces], pa.binary())], names=["seg", "batch", "h"])
-
-    def answered(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"batch": [], "seg": [], "levels": [], "exact": []}
-        for r in right.to_pylist():
-            own = Filter.of_one(r["seg"], r["bits"], r["words"], r["counts"])
-            for number, data in zip(left["batch"].to_pylist(), left["h"].to_pylist(), strict=True):
-                h = np.frombuffer(data, np.uint64)
-                for k, v in zip(out, (number, r["seg"], own.levels(h, segments, limit).tobytes(), own.exact(h).astype(np.int64).tobytes()), strict=True):
-                    out[k].append(v)
-        return pa.table([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=list(out))
+                yield from thin(request(number, opened(data.as_buffer()).column("text")))
+                free()
+
+    def answered(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Levels and exact counts of the n-grams sent to each range, whose segments come before them."""
+        place, held, own = -1, [], None
+        for x in stream:
+            places, kinds = x.column("place").to_numpy(), x.column("kind").to_numpy()
+            edges = [0, *np.flatnonzero((np.diff(places) != 0) | (np.diff(kinds) != 0)) + 1, x.num_rows]
+            for at, end in zip(edges, edges[1:], strict=False):
+                if at == end:
+                    continue
+                part = x.slice(at, end - at)
+                if places[at] != place:
+                    place, held, own = int(places[at]), [], None
+                if kinds[at] == 0:
+                    held += zip(*(part.column(c).to_pylist() for c in ("number", "data", "words", "counts")), strict=True)
+                    continue
+                if own is None:
+                    own, held = Filter.of_range(first_of(place, segments, ranges), first_of(place + 1, segments, ranges) - 1, held), []
+                (pairs, p_ends), (words, w_ends) = ((restored(v, place, segments, ranges), ends) for v, ends in (flat(part.column(c), record) for c in ("data", "words")))
+                yield pa.RecordBatch.from_arrays([part.column("number"), part.column("place"), cut(own.levels(pairs, segments, limit), p_ends), cut(own.levels(words, segments, limit), w_ends), cut(own.exact(words).astype(np.int64), w_ends)], names=["batch", "place", "pairs", "words", "counts"])
 
     def finished(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = {s: (lv, ex) for s, lv, ex in zip(right["seg"].to_pylist(), right["levels"].to_pylist(), right["exact"].to_pylist(), strict=True)}
+        order = np.argsort(right["place"].to_numpy())
+        answers = {c: right[c].to_pylist() for c in ("pairs", "words", "counts")}
+
+        def back_in(name: str, kind, place):
+            """The answers in the order of the batch's n-grams."""
+            got = np.frombuffer(b"".join(answers[name][i] for i in order), kind)
+            if len(got) != len(place):
+                raise RuntimeError(f"{len(got)} of {len(place)} n-grams of a batch were answered")
+            out = np.empty(len(got), kind)
+            out[place] = got
+            return out
+
         out = []
         for data in left["rows"].to_pylist():
             batch = opened(data)
-            every, order, codes, starts, pairs = grams(batch.column("text"))
-            levels, exact = np.zeros(len(every), np.uint8), np.zeros(len(every), np.int64)
-            seg = segment_of(every, segments)
-            ends = [*np.flatnonzero(np.diff(seg)) + 1, len(seg)]
-            at = 0
-            for end in ends:
-                if int(seg[at]) in known:
-                    lv, ex = known[int(seg[at])]
-                    levels[order[at:end]], exact[order[at:end]] = np.frombuffer(lv, np.uint8), np.frombuffer(ex, np.int64)
-                at = end
-            out.append(summed([batch.column(c) for c in rest], codes, starts, levels[codes], levels[pairs], exact[codes]))
+            words, pairs, codes, back, starts = grams(batch.column("text"))
+            w, p = dealt(words, segments, ranges)[0], dealt(pairs, segments, ranges)[0]
+            out.append(summed([batch.column(c) for c in rest], codes, starts, back_in("words", np.uint8, w)[codes], back_in("pairs", np.uint8, p)[back], back_in("counts", np.int64, w)[codes]))
+        free()
         return pa.Table.from_batches(out)
 
-    rows = staged(docs.mapInArrow(batched, "batch long, rows binary"), "lm-batches")
-    requests = rows.mapInArrow(asked, "seg long, batch long, h binary")
-    answers = requests.groupBy("seg").cogroup(model.table.select("seg", "bits", "words", "counts").groupBy("seg")).applyInArrow(answered, "batch long, seg long, levels binary, exact binary")
+    rows = staged(docs.mapInArrow(batched, "batch long, rows binary"), "lm-batches", options=ROW_GROUPS)
+    stored = model.table.select(F.expr(f"CAST(seg * {ranges} DIV {segments} AS INT)").alias("place"), F.lit(0).alias("kind"), F.col("seg").alias("number"), F.col("bits").alias("data"), "words", "counts")
+    met = stored.union(rows.mapInArrow(asked, stored.schema)).repartition("place").sortWithinPartitions("place", "kind")
+    answers = staged(met.mapInArrow(answered, "batch long, place int, pairs binary, words binary, counts binary"), "lm-answers", release=True, options=ROW_GROUPS | {"compression": "zstd"})
     return rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(finished, done)
 
 

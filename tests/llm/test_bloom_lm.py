@@ -83,3 +83,42 @@ def test_batches_beyond_the_first_slice(spark, prose):
         w = words(docs[r.doc_id][1])
         assert (r.n_tokens, r.n_known) == (len(w), len(w))
         assert math.isclose(r.base_score, sum(math.log10((c[x] + 1) / (model.tokens + len(c) + 1)) for x in w), rel_tol=1e-9)
+
+
+def test_many_segments_beyond_the_broadcast(spark, prose, monkeypatch):
+    """Rows that meet the segments follow ranges and batches of texts, not segments; a range's rows come in several Arrow batches."""
+    docs = [(i, chained(prose, i, 40) + f" own{i}") for i in range(60)] + [(900, None), (901, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(2)
+    kept, staged = {}, op.staged
+    for name, value in (("SEGMENT_TEXT", 64), ("RANGES", 5), ("RANGE_SEGMENTS", 1 << 20), ("DOCS", 7)):
+        monkeypatch.setattr(op, name, value)
+    monkeypatch.setattr(op, "staged", lambda frame, name, *a, **b: kept.setdefault(name, staged(frame, name, *a, **b)))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "3")
+    try:
+        model = op.train(df)
+        near, far = ({r.doc_id: r for r in op.score(df, model, broadcast).collect()} for broadcast in (192 << 20, 0))
+    finally:
+        spark.conf.set(key, before)
+    batches = kept["lm-batches"].count()
+    assert model.segments > 200 and batches > 8
+    assert kept["lm-answers"].count() <= 5 * batches
+    c = Counter(w for _, t in docs for w in words(t))
+    n, v = sum(c.values()), len(c)
+    for i, text in docs:
+        w = words(text)
+        assert (far[i].n_tokens, far[i].n_known, far[i].train_tokens) == (len(w), len(w), n)
+        assert math.isclose(far[i].base_score, sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), rel_tol=1e-9)
+        assert math.isclose(far[i].score, near[i].score, rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("segments", [8, 256, 257, 353, 513, 4101, 32769, 700001])
+def test_shortened_hashes_come_back(segments):
+    ranges = min(segments, max(op.RANGES, -(-segments // op.RANGE_SEGMENTS)))
+    h = np.concatenate([np.random.default_rng(1).integers(0, 2**64, 5000, np.uint64), np.array([0, 2**32 - 1, 2**63, 2**64 - 1], np.uint64)])
+    order, ends = op.dealt(h, segments, ranges)
+    records = op.shortened(h[order], segments, ranges)
+    assert records.itemsize == (8 if segments <= 256 else 7)
+    back = [op.restored(records[ends[p] : ends[p + 1]], p, segments, ranges) for p in range(ranges)]
+    assert (np.concatenate(back) == h[order]).all()

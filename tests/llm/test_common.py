@@ -2,8 +2,9 @@ import re
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from blocklog.llm.common import slices, token_hashes
+from blocklog.llm.common import slices, staged, token_hashes
 
 TEXTS = ["A b", "", "c D  e\t", " f", None, "É x\x1cy z", "g H", "b a b"]
 
@@ -31,3 +32,16 @@ def test_slices_hold_every_row_once():
         assert [i for part in got for i in part.column("i").to_pylist()] == [*range(9)]
         assert all(part.num_rows <= rows and (part.num_rows == 1 or sum(len((t or "").encode()) for t in part.column("text").to_pylist()) <= size) for part in got)
     assert [*slices(batch.slice(0, 0), 3, 3)] == []
+
+
+@pytest.mark.parametrize("release", [False, True])
+def test_staged_releases_its_shuffle_files(spark, release):
+    def files():
+        found = spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString(" ").split()
+        return {f for f in found if "/shuffle_" in f}
+
+    before = files()
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    assert len(staged(df, "released", release=release).collect()) == 7
+    assert bool(files() - before) != release
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
